@@ -17,12 +17,31 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxframe.llm.language_id import language_id
+
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voxframe.llm.bpe_codec import round_trip
 
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxframe.llm.mixing import mix, quality_weight
+
+    docs = quality_weight(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return mix(docs, "quality_weight").select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxframe.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voxframe.llm.token_counts import count_tokens
 
@@ -30,7 +49,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_language_id": op2_language_id,
     "op3_bpe_codec": op3_bpe_codec,
+    "op4_mixing": op4_mixing,
+    "op5_simhash": op5_simhash,
     "op9_token_counts": op9_token_counts,
 }
 
