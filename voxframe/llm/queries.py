@@ -42,6 +42,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_secrets_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxframe.llm.secrets_scan import digest, scan
+
+    return digest(scan(table(spark, sf_dir, "documents")))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voxframe.llm.token_counts import count_tokens
 
@@ -53,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "op3_bpe_codec": op3_bpe_codec,
     "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
+    "op7_secrets_scan": op7_secrets_scan,
     "op9_token_counts": op9_token_counts,
 }
 
