@@ -17,6 +17,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxframe.llm.exact_topk import exact_topk
+
+    return exact_topk(table(spark, sf_dir, "embeddings"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voxframe.llm.language_id import language_id
 
@@ -42,6 +48,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxframe.llm.ann_forest import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_secrets_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voxframe.llm.secrets_scan import digest, scan
 
@@ -55,10 +67,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_exact_topk": op1_exact_topk,
     "op2_language_id": op2_language_id,
     "op3_bpe_codec": op3_bpe_codec,
     "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
+    "op6_ann_forest": op6_ann_forest,
     "op7_secrets_scan": op7_secrets_scan,
     "op9_token_counts": op9_token_counts,
 }
