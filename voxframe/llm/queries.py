@@ -60,12 +60,24 @@ def op7_secrets_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan(table(spark, sf_dir, "documents")))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxframe.llm.suffix_array_dedup import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voxframe.llm.token_counts import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxframe.llm.substring_dedup import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_language_id": op2_language_id,
@@ -74,7 +86,9 @@ QUERIES: dict[str, Query] = {
     "op5_simhash": op5_simhash,
     "op6_ann_forest": op6_ann_forest,
     "op7_secrets_scan": op7_secrets_scan,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_token_counts": op9_token_counts,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
