@@ -185,16 +185,24 @@ def codec(path: str) -> ByteBPE:
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (array of int) of every whole text."""
+    """doc_id, n_tokens, ids (array of int) of every whole text, and whether the ids decode to it."""
     prepare(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = codec(vocabulary)
-        for batch in batches:
-            ids = [np.frombuffer(bpe.encode(t or ""), dtype="<u4").astype("int32") for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids})
+    def run(batches) -> Iterator:
+        import pyarrow as pa
 
-    return id_and_text(docs, id_col, text_col).mapInPandas(run, "doc_id long, ids array<int>")
+        bpe = codec(vocabulary)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 250):  # so that ids in memory stay few
+                batch = whole.slice(start, 250)
+                texts = [t.as_py() or "" for t in batch.column(1)]
+                ids = [np.frombuffer(bpe.encode(t), dtype="<u4").astype(np.int32) for t in texts]
+                same = [bpe.decode(x.tolist()) == t for x, t in zip(ids, texts)]
+                sizes = np.array([len(x) for x in ids])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), lists, pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "decodes"])
+
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decodes boolean")
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:

@@ -94,3 +94,10 @@ def language_id(docs: DataFrame) -> DataFrame:
     dictionaries = fit(docs.where(~held_out(F.col("doc_id"))))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return identify(rows, dictionaries).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with a missing lang filled in."""
+    prepare(docs.sparkSession)
+    known = identify(docs, fit(docs.where(~held_out(F.col("doc_id")))))
+    return known.where(~F.col("rejected")).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)

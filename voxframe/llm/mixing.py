@@ -59,7 +59,7 @@ def budgets(sources: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weight_col: str | None = None) -> DataFrame:
-    """The columns doc_id, source, weight, key, size, source_size, target, taken, one row for each document."""
+    """The columns doc_id, tie (a hash of the text), source, weight, key, size, source_size, target, taken, one row for each document."""
     prepare(docs.sparkSession)
     weight = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
     rows = docs.select(
@@ -80,7 +80,7 @@ def mix(docs: DataFrame, weight_col: str | None = None) -> DataFrame:
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - epochs * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
-    return joined.select("doc_id", "source", F.col("quality").alias("weight"), "key", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+    return joined.select("doc_id", "tie", "source", F.col("quality").alias("weight"), "key", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
 
 
 def quality_weight(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -88,3 +88,19 @@ def quality_weight(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_label_id")).agg(F.max("quality").alias("_quality"))
     found = docs.drop("quality_weight").join(known, docs["doc_id"] == F.col("_label_id"), "left")
     return found.withColumn("quality_weight", F.when(F.col("_quality") == 1, 2.0).when(F.col("_quality") == 0, 0.5).otherwise(1.0)).drop("_label_id", "_quality")
+
+
+def mixture(docs: DataFrame, weight_col: str | None = None) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them; the row that straddles a budget is cut to its words, space-joined.
+
+    Rows that agree in id and text are taken alike. n_chars follows a cut text; other columns stay.
+    """
+    names = [c for c in docs.columns if c != weight_col]
+    plan = mix(docs, weight_col).groupBy(F.col("doc_id").alias("_d"), F.col("tie").alias("_t")).agg(F.max("size").alias("_size"), F.max("taken").alias("_taken")).where("_taken > 0")
+    rows = docs.withColumn("_tie", F.xxhash64("text")).join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_tie") == F.col("_t")))
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
+    words = F.least(F.col("_size"), F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")).cast("int")
+    first = F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), words), " ")
+    rows = rows.withColumn("text", F.when(words < F.col("_size"), first).otherwise(F.col("text")))
+    rows = rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else rows
+    return rows.select(*names)

@@ -103,15 +103,26 @@ def battery(token: Column) -> Column:
     return F.when(encoding.isNotNull(), F.transform(F.array(known), tests)[0])
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, base (sorted spans), tokens (spans with the battery's p-values) of every whole text."""
-    rows = id_and_text(docs).withColumn("text", F.coalesce("text", F.lit("")))
-    text = F.col("text")
+def candidates(text: Column) -> tuple[Column, Column]:
+    """The base spans in order, and the tokens that an encoding fits, with the battery's p-values."""
     assign = located(text, ASSIGN, 0, values=lambda: F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)))
     access = F.when(F.contains(text, F.lit("AKIA")), located(text, ACCESS, 1)).otherwise(F.array().cast(SPANS))
     base = F.array_sort(F.concat(assign, access, located(text, HEX, 2)))
     tested = F.transform(located(text, TOKEN, 3), lambda s: F.struct(s.alias("span"), battery(F.substring(text, s["start"] + 1, s["end"] - s["start"])).alias("p")))
-    return rows.select("doc_id", base.alias("base"), F.filter(tested, lambda t: t["p"].isNotNull()).alias("tokens"))
+    return base, F.filter(tested, lambda t: t["p"].isNotNull())
+
+
+def scanned(docs: DataFrame) -> DataFrame:
+    """doc_id, base, tokens of every whole text."""
+    base, tokens = candidates(F.coalesce("text", F.lit("")))
+    return id_and_text(docs).select("doc_id", base.alias("base"), tokens.alias("tokens"))
+
+
+def all_spans(base: Column, tokens: Column, allowed: dict[int, float]) -> Column:
+    """The base spans and those tokens that the battery and the false-discovery control keep, in order."""
+    limit = F.create_map(*[F.lit(x) for kv in sorted(allowed.items()) for x in kv]) if allowed else F.create_map().cast("map<int,double>")
+    random = F.filter(tokens, lambda t: (t["p"]["p_uniform"] >= UNIFORM_LEVEL) & (t["p"]["p_text"] <= F.coalesce(limit[F.floor(F.log2(t["p"]["n"])).cast("int")], F.lit(-1.0))))
+    return F.array_sort(F.concat(base, F.transform(random, lambda t: t["span"])))
 
 
 def thresholds(tokens: DataFrame) -> dict[int, float]:
@@ -133,9 +144,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, base, spans: arrays of struct(start, kind, end), kind an index into KINDS."""
     rows = cut(scanned(docs))
     allowed = thresholds(rows.select(F.explode("tokens").alias("t")).select("t.p"))
-    limit = F.create_map(*[F.lit(x) for kv in sorted(allowed.items()) for x in kv]) if allowed else F.create_map().cast("map<int,double>")
-    random = F.filter("tokens", lambda t: (t["p"]["p_uniform"] >= UNIFORM_LEVEL) & (t["p"]["p_text"] <= F.coalesce(limit[F.floor(F.log2(t["p"]["n"])).cast("int")], F.lit(-1.0))))
-    return rows.select("doc_id", "base", F.array_sort(F.concat("base", F.transform(random, lambda t: t["span"]))).alias("spans"))
+    return rows.select("doc_id", "base", all_spans(F.col("base"), F.col("tokens"), allowed).alias("spans"))
 
 
 def written(spans: Column) -> Column:
@@ -160,3 +169,11 @@ def masked(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
         return F.struct(F.greatest(so_far["at"], s["end"]).alias("at"), F.when(s["start"] >= so_far["at"], gap).otherwise(so_far["out"]).alias("out"))
 
     return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+
+
+def mask_secrets(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with every span masked in text; n_chars follows the text, other columns stay."""
+    tokens = cut(scanned(docs).select(F.explode("tokens").alias("t")).select("t.p"))
+    base, found = candidates(F.col("text"))
+    clean = docs.withColumn("text", F.when(F.col("text").isNotNull(), masked(F.col("text"), all_spans(base, found, thresholds(tokens)))))
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean

@@ -100,5 +100,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(ids, prints["fp"] == F.col("_fp"), "left").select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that represent their group: those with the group's least id; of repeated rows, one."""
+    least = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
+    kept = docs.join(least, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    return kept.withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_th"]).drop("_th")
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
