@@ -86,8 +86,9 @@ def mix(docs: DataFrame, weight_col: str | None = None) -> DataFrame:
 def quality_weight(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with a column quality_weight: 2 for documents labelled good, 0.5 for bad, else 1."""
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_label_id")).agg(F.max("quality").alias("_quality"))
-    found = docs.drop("quality_weight").join(known, docs["doc_id"] == F.col("_label_id"), "left")
-    return found.withColumn("quality_weight", F.when(F.col("_quality") == 1, 2.0).when(F.col("_quality") == 0, 0.5).otherwise(1.0)).drop("_label_id", "_quality")
+    rows = docs.drop("quality_weight").select(F.struct("*").alias("row"))
+    found = rows.join(known, F.col("row.doc_id") == F.col("_label_id"), "left")
+    return found.select("row.*", F.when(F.col("_quality") == 1, 2.0).when(F.col("_quality") == 0, 0.5).otherwise(1.0).alias("quality_weight"))
 
 
 def mixture(docs: DataFrame, weight_col: str | None = None) -> DataFrame:
@@ -95,12 +96,12 @@ def mixture(docs: DataFrame, weight_col: str | None = None) -> DataFrame:
 
     Rows that agree in id and text are taken alike. n_chars follows a cut text; other columns stay.
     """
-    names = [c for c in docs.columns if c != weight_col]
-    plan = mix(docs, weight_col).groupBy(F.col("doc_id").alias("_d"), F.col("tie").alias("_t")).agg(F.max("size").alias("_size"), F.max("taken").alias("_taken")).where("_taken > 0")
-    rows = docs.withColumn("_tie", F.xxhash64("text")).join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_tie") == F.col("_t")))
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
-    words = F.least(F.col("_size"), F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")).cast("int")
-    first = F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), words), " ")
-    rows = rows.withColumn("text", F.when(words < F.col("_size"), first).otherwise(F.col("text")))
-    rows = rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else rows
-    return rows.select(*names)
+    plan = mix(docs, weight_col).groupBy(F.col("doc_id").alias("planned"), F.col("tie").alias("planned_tie")).agg(F.max("size").alias("size"), F.max("taken").alias("taken")).where("taken > 0")
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != weight_col]).alias("row"))
+    rows = rows.join(plan, F.col("row.doc_id").cast("long").eqNullSafe(F.col("planned")) & (F.xxhash64("row.text") == F.col("planned_tie")))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    words = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int")
+    first = F.array_join(F.slice(F.filter(F.split("row.text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), words), " ")
+    rows = rows.select("row.*", F.when(words < F.col("size"), first).otherwise(F.col("row.text")).alias("cut_text_"))
+    out = rows.withColumn("text", F.col("cut_text_")).drop("cut_text_")
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out

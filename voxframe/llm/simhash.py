@@ -102,9 +102,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that represent their group: those with the group's least id; of repeated rows, one."""
-    least = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(least, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_th"]).drop("_th")
+    least = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("least")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"))
+    return rows.join(least, F.col("id").eqNullSafe(F.col("least")), "left_semi").dropDuplicates(["id", "text_hash"]).select("row.*")
 
 
 def hex_digits(fp: Column) -> Column:
