@@ -2,6 +2,190 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from voxframe.functions import turns as fn
+from voxframe.operators import intervals, scoring
+from voxframe.plans import derived
+from voxframe.sources import text_formats
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "a1_der"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = derived.SQL + sql
+        return f
+
+    return add
+
+
+LABEL = "'SPEAKER_' || lpad(CAST(speaker AS VARCHAR), 2, '0')"
+
+
+@query("p1_turn_scalars", 'SELECT file, ord, greatest("end" - start, 0) AS dur, (start + "end") / 2 AS mid, ' + LABEL + " AS label, sf, ef FROM turns")
+def p1(spark, d):
+    return derived.turns(spark, d).select("file", "ord", fn.duration(F.col("start"), F.col("end")).alias("dur"), ((F.col("start") + F.col("end")) / 2).alias("mid"), fn.speaker_label(F.col("speaker")).alias("label"), "sf", "ef")
+
+
+@query("p2_gap_to_previous", 'SELECT file, ord, greatest(0, start - lag("end") OVER (PARTITION BY file ORDER BY start, ord)) AS gap FROM turns QUALIFY lag(ord) OVER (PARTITION BY file ORDER BY start, ord) IS NOT NULL')
+def p2(spark, d):
+    return intervals.nearest_gap(derived.turns(spark, d)).where("gap is not null").select("file", "ord", "gap")
+
+
+@query("p3_cosine_to_next", "SELECT a.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS cos FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def p3(spark, d):
+    a = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding")
+    b = a.select((F.col("vec_id") - 1).alias("before"), F.col("embedding").alias("other"))
+    return a.join(b, F.col("vec_id") == F.col("before")).select("vec_id", F.round(fn.cosine(F.col("embedding"), F.col("other")), 6).alias("cos"))
+
+
+@query("p7_confidence", "SELECT event_id, round(1 / (1 + exp(-10 * (least(1, value / 100) - 0.5))), 9) AS conf FROM events")
+def p7(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.round(fn.confidence(F.col("value") / 100), 9).alias("conf"))
+
+
+@query("i1_merge_segments", """, m AS (SELECT *, CASE WHEN lag(speaker) OVER w = speaker AND start - lag("end") OVER w <= 60 THEN 0 ELSE 1 END AS fresh FROM turns WINDOW w AS (PARTITION BY file ORDER BY ord)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY file ORDER BY ord) AS run FROM m)
+SELECT file, min(speaker) AS speaker, arg_min(start, ord) AS start, arg_max("end", ord) AS "end", count(*) AS n_merged FROM r GROUP BY file, run""")
+def i1(spark, d):
+    return intervals.merge_adjacent(derived.turns(spark, d), 60.0)
+
+
+UNION_SQL = """, m AS (SELECT *, CASE WHEN max("end") OVER w IS NULL OR start > max("end") OVER w + {gap} THEN 1 ELSE 0 END AS fresh FROM turns WINDOW w AS (PARTITION BY file, speaker ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY file, speaker ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS run FROM m),
+u AS (SELECT file, speaker, run, min(start) AS start, max("end") AS "end" FROM r GROUP BY ALL) """
+
+
+@query("i2_merge_by_speaker", UNION_SQL.format(gap="30") + 'SELECT file, speaker, start, "end" FROM u')
+def i2(spark, d):
+    return intervals.merge_by_speaker(derived.turns(spark, d), 30.0)
+
+
+@query("i3_union_duration", UNION_SQL.format(gap="0") + 'SELECT file, speaker, CAST(sum(CAST(round(("end" - start) * 1000) AS BIGINT)) AS BIGINT) AS union_ms FROM u GROUP BY ALL')
+def i3(spark, d):
+    return intervals.merge_by_speaker(derived.turns(spark, d)).groupBy("file", "speaker").agg(F.sum(F.round((F.col("end") - F.col("start")) * 1000).cast("long")).alias("union_ms"))
+
+
+@query("i7_overlapping_pairs", 'SELECT a.file, a.ord, b.ord AS ord2, least(a."end", b."end") - greatest(a.start, b.start) AS shared FROM turns a JOIN turns b ON a.file = b.file AND a.ord < b.ord AND a.speaker <> b.speaker AND a.start < b."end" AND b.start < a."end"')
+def i7(spark, d):
+    return intervals.overlapping_pairs(derived.turns(spark, d))
+
+
+@query("i9_label_words", 'SELECT w.file, w.word_ord, w.word, (SELECT arg_min(t.speaker, t.ord) FROM turns t WHERE t.file = w.file AND t.start <= (w.start + w."end") / 2 AND (w.start + w."end") / 2 <= t."end") AS speaker FROM words w')
+def i9(spark, d):
+    return intervals.speaker_at_midpoint(derived.words(spark, d), derived.turns(spark, d)).select("file", "word_ord", "word", "speaker")
+
+
+@query("i12_attribute_words", """, c AS (SELECT w.file, w.word_ord, t.speaker, t.ord, least(w."end", t."end") - greatest(w.start, t.start) AS shared FROM words w JOIN turns t ON w.file = t.file AND w.start < t."end" AND t.start < w."end"),
+b AS (SELECT * FROM c WHERE shared > 0 QUALIFY row_number() OVER (PARTITION BY file, word_ord ORDER BY shared DESC, speaker, ord) = 1)
+SELECT w.file, w.word_ord, b.speaker, coalesce(b.shared, 0) AS shared FROM words w LEFT JOIN b USING (file, word_ord)""")
+def i12(spark, d):
+    return intervals.attribute_words(derived.words(spark, d), derived.turns(spark, d)).select("file", "word_ord", "speaker", "shared")
+
+
+@query("i13_sentences", """, s AS (SELECT *, CAST(coalesce(sum(CASE WHEN word = 'stop.' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY word_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS sentence FROM words)
+SELECT file, sentence, count(*) AS n_words, min(start) AS start FROM s GROUP BY ALL""")
+def i13(spark, d):
+    return intervals.sentences(derived.words(spark, d)).groupBy("file", "sentence").agg(F.count(F.lit(1)).alias("n_words"), F.min("start").alias("start"))
+
+
+for _name, _partial in (("w1_windows", False), ("w2_windows_partial", True)):
+    query(_name, f""", t AS (SELECT file, max(ef) % 100000 AS total FROM turns GROUP BY file)
+SELECT file, CAST(s // 200 AS INTEGER) AS win, s AS start, least(s + 500, total) AS "end" FROM t, unnest(range(0, total {'' if _partial else '- 499'}, 200)) AS x(s)""")(
+        lambda spark, d, partial=_partial: intervals.sliding_windows(derived.totals(spark, d), 500, 200, partial)
+    )
+
+CELLS = """, both_ AS (SELECT file, sf, ef FROM turns UNION ALL SELECT file, sf, ef FROM hyp),
+cuts AS (SELECT file, sf AS a FROM both_ UNION SELECT file, ef FROM both_),
+cells AS (SELECT file, a, lead(a) OVER (PARTITION BY file ORDER BY a) AS b FROM cuts QUALIFY b IS NOT NULL),
+r AS (SELECT DISTINCT c.file, c.a, c.b, t.speaker FROM cells c JOIN turns t ON c.file = t.file AND t.sf <= c.a AND c.b <= t.ef),
+h AS (SELECT DISTINCT c.file, c.a, c.b, t.speaker FROM cells c JOIN hyp t ON c.file = t.file AND t.sf <= c.a AND c.b <= t.ef),
+n AS (SELECT c.file, c.a, c.b - c.a AS w, (SELECT count(*) FROM r WHERE r.file = c.file AND r.a = c.a) AS nr, (SELECT count(*) FROM h WHERE h.file = c.file AND h.a = c.a) AS nh FROM cells c),
+counts AS (SELECT file, CAST(sum(w * nr) AS BIGINT) AS ref_frames, CAST(sum(w * greatest(0, nr - nh)) AS BIGINT) AS miss, CAST(sum(w * greatest(0, nh - nr)) AS BIGINT) AS fa, CAST(sum(w * least(nr, nh)) AS BIGINT) AS "both" FROM n GROUP BY file) """
+
+
+@query("a3_frame_counts", CELLS + "SELECT * FROM counts")
+def a3(spark, d):
+    return scoring.frame_counts(derived.turns(spark, d), derived.hypothesis(spark, d))
+
+
+@query("a4_co_occurrence", CELLS + "SELECT r.file, r.speaker AS ref_speaker, h.speaker AS hyp_speaker, CAST(sum(r.b - r.a) AS BIGINT) AS frames FROM r JOIN h ON r.file = h.file AND r.a = h.a GROUP BY ALL")
+def a4(spark, d):
+    return scoring.co_occurrence(derived.turns(spark, d), derived.hypothesis(spark, d))
+
+
+@query("a1_der")
+def a1(spark, d):
+    return scoring.der(derived.turns(spark, d), derived.hypothesis(spark, d))
+
+
+@query("a11_micro_macro", CELLS + "SELECT count(*) AS files, 100.0::DOUBLE * sum(miss + fa) / sum(ref_frames) AS micro, round(100.0::DOUBLE * avg((miss + fa)::DOUBLE / ref_frames), 6) AS macro FROM counts")
+def a11(spark, d):
+    return scoring.micro_macro(scoring.frame_counts(derived.turns(spark, d), derived.hypothesis(spark, d)))
+
+
+SCORES = """, s AS (SELECT floor(value) AS score, user_id % 2 = 0 AS same FROM events),
+g AS (SELECT score, sum(same::INT) AS pos, sum((NOT same)::INT) AS neg FROM s GROUP BY score),
+e AS (SELECT score AS threshold, 100.0::DOUBLE * sum(neg) OVER w / sum(neg) OVER () AS far, 100.0::DOUBLE * (sum(pos) OVER () - sum(pos) OVER w) / sum(pos) OVER () AS frr FROM g WINDOW w AS (ORDER BY score DESC)) """
+
+
+@query("a17_equal_error_rate", SCORES + "SELECT * FROM e ORDER BY abs(far - frr), threshold LIMIT 1")
+def a17(spark, d):
+    return scoring.equal_error_rate(spark.read.parquet(f"{d}/events.parquet").select(F.floor("value").cast("double").alias("score"), (F.col("user_id") % 2 == 0).alias("same")))
+
+
+@query("a19_speaker_rollup", "SELECT file, speaker, CAST(sum(ef - sf) AS BIGINT) AS frames, count(*) AS n_turns FROM turns GROUP BY ALL")
+def a19(spark, d):
+    return scoring.speaker_rollup(derived.turns(spark, d))
+
+
+@query("a20_num_speakers", "SELECT file, max(speaker) + 1 AS by_label, count(DISTINCT speaker) AS by_turn FROM turns GROUP BY file")
+def a20(spark, d):
+    return derived.turns(spark, d).groupBy("file").agg((F.max("speaker") + 1).alias("by_label"), F.countDistinct("speaker").alias("by_turn"))
+
+
+@query("s4_speaker_ids", """, f AS (SELECT file, speaker, row_number() OVER (PARTITION BY file ORDER BY min(ord)) - 1 AS speaker_id FROM turns GROUP BY file, speaker)
+SELECT file, ord, speaker, speaker_id FROM turns JOIN f USING (file, speaker)""")
+def s4(spark, d):
+    return text_formats.dense_speaker_ids(derived.turns(spark, d).select("file", "ord", "speaker"))
+
+
+RTTM_SQL = "SELECT file, ord, 'SPEAKER ' || file || ' 1 ' || printf('%.3f', start) || ' ' || printf('%.3f', \"end\" - start) || ' <NA> <NA> ' || " + LABEL + " || ' <NA> <NA>' AS line FROM turns"
+
+
+@query("s5_rttm_write", RTTM_SQL)
+def s5(spark, d):
+    return text_formats.rttm_lines(derived.turns(spark, d))
+
+
+@query("s1_rttm_parse", ", l AS (" + RTTM_SQL + ") SELECT ord AS line_no, split_part(line, ' ', 2) AS file, CAST(split_part(line, ' ', 4) AS DOUBLE) AS start, CAST(split_part(line, ' ', 5) AS DOUBLE) AS duration, split_part(line, ' ', 8) AS speaker FROM l")
+def s1(spark, d):
+    return text_formats.parse_rttm(text_formats.rttm_lines(derived.turns(spark, d)).select(F.col("ord").alias("line_no"), "line"))
+
+
+@query("s6_uem_parse", "SELECT file, CAST(ord AS DOUBLE) AS start, CAST(ord + speaker AS DOUBLE) AS \"end\" FROM turns WHERE speaker > 0")
+def s6(spark, d):
+    t = derived.turns(spark, d)
+    return text_formats.parse_uem(t.select(F.concat_ws(" ", "file", F.lit("1"), F.col("ord").cast("string"), (F.col("ord") + F.col("speaker")).cast("string")).alias("line")))
+
+
+def _timecode(x: str, mark: str) -> str:
+    return f"printf('%02d:%02d:%02d{mark}%03d', CAST(round({x}*1000) AS BIGINT) // 3600000, CAST(round({x}*1000) AS BIGINT) // 60000 % 60, CAST(round({x}*1000) AS BIGINT) // 1000 % 60, CAST(round({x}*1000) AS BIGINT) % 1000)"
+
+
+@query("s17_srt", f"""SELECT file, ord, row_number() OVER (PARTITION BY file ORDER BY ord) || chr(10) || {_timecode('start', ',')} || ' --> ' || {_timecode('"end"', ',')} || chr(10) || {LABEL} || ': turn ' || ord AS cue FROM turns""")
+def s17(spark, d):
+    return text_formats.srt_cues(derived.turns(spark, d).withColumn("text", F.concat(F.lit("turn "), F.col("ord").cast("string"))))
+
+
+@query("s18_vtt", f"""SELECT file, ord, {_timecode('start', '.')} || ' --> ' || {_timecode('"end"', '.')} || chr(10) || '<v ' || {LABEL} || '>a &lt; b &amp; c</v>' AS cue FROM turns""")
+def s18(spark, d):
+    return text_formats.vtt_cues(derived.turns(spark, d).withColumn("text", F.lit("a < b & c")))
