@@ -1,9 +1,11 @@
 """Each operator against a brute-force version on small tables with nulls, ties, repeats and extra columns."""
 
 import hashlib
+import os
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -250,3 +252,18 @@ def test_pipeline_stages(spark, tmp_path):
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert rows and all(r["decodes"] and len(r["ids"]) == r["n_tokens"] for r in rows)
     assert not {r["doc_id"] for r in rows} & {50, 51, 52}
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
+@pytest.mark.parametrize("name", ["op1_exact_topk", "op4_mixing", "op10_substring_dedup"])
+def test_query_equals_sql(spark, name):
+    from voxframe.llm.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "labels"):
+        con.sql(f"CREATE VIEW {t} AS FROM '{DATA}/{t}.parquet'")
+    df = QUERIES[name](spark, DATA)
+    assert Counter(map(tuple, df.collect())) == Counter(con.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLES[name]})").fetchall())
