@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxframe.functions import turns as fn
-from voxframe.operators import intervals, scoring
+from voxframe.operators import intervals, scoring, sequences
 from voxframe.plans import derived
 from voxframe.sources import text_formats
 
@@ -189,3 +189,62 @@ def s17(spark, d):
 @query("s18_vtt", f"""SELECT file, ord, {_timecode('start', '.')} || ' --> ' || {_timecode('"end"', '.')} || chr(10) || '<v ' || {LABEL} || '>a &lt; b &amp; c</v>' AS cue FROM turns""")
 def s18(spark, d):
     return text_formats.vtt_cues(derived.turns(spark, d).withColumn("text", F.lit("a < b & c")))
+
+
+def _frames(spark, d):
+    return derived.turns(spark, d).select("file", F.col("ord").alias("frame"), ((F.col("ord") * 37 % 100) / 100.0).alias("prob"))
+
+
+GATE = """, f AS (SELECT file, ord AS frame, (ord * 37 % 100) / 100.0::DOUBLE AS prob FROM turns),
+g AS (SELECT *, coalesce(last_value(CASE WHEN prob >= 0.7 THEN 1 WHEN prob < 0.4 THEN 0 END IGNORE NULLS) OVER (PARTITION BY file ORDER BY frame), 0) = 1 AS active FROM f) """
+
+
+@query("q3_hysteresis", GATE + "SELECT file, frame, active FROM g")
+def q3(spark, d):
+    return sequences.hysteresis(_frames(spark, d), 0.7, 0.4).select("file", "frame", "active")
+
+
+@query("q4_regions", GATE + """, m AS (SELECT *, CASE WHEN frame - lag(frame) OVER (PARTITION BY file ORDER BY frame) - 1 < 2 THEN 0 ELSE 1 END AS fresh FROM g WHERE active),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY file ORDER BY frame) AS run FROM m)
+SELECT file, min(frame) AS first, max(frame) AS last FROM r GROUP BY file, run HAVING max(frame) - min(frame) + 1 >= 3""")
+def q4(spark, d):
+    return sequences.regions(sequences.hysteresis(_frames(spark, d), 0.7, 0.4), 2, 3)
+
+
+@query("i6_exclusive_timeline", """, cuts AS (SELECT file, sf AS a FROM turns UNION SELECT file, ef FROM turns),
+cells AS (SELECT file, a, lead(a) OVER (PARTITION BY file ORDER BY a) AS b FROM cuts QUALIFY b IS NOT NULL),
+best AS (SELECT c.file, c.a, c.b, t.speaker FROM cells c JOIN turns t ON c.file = t.file AND t.sf <= c.a AND c.b <= t.ef QUALIFY row_number() OVER (PARTITION BY c.file, c.a ORDER BY t.ef - t.sf DESC, t.speaker, t.ord) = 1),
+m AS (SELECT *, CASE WHEN lag(speaker) OVER w = speaker AND lag(b) OVER w = a THEN 0 ELSE 1 END AS fresh FROM best WINDOW w AS (PARTITION BY file ORDER BY a)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY file ORDER BY a) AS run FROM m)
+SELECT file, min(speaker) AS speaker, min(a) AS a, max(b) AS b FROM r GROUP BY file, run""")
+def i6(spark, d):
+    return sequences.exclusive_timeline(derived.turns(spark, d))
+
+
+@query("c6_canonical_labels", """, z AS (SELECT file, speaker, row_number() OVER (PARTITION BY file ORDER BY count(*) DESC, min(ord)) - 1 AS canon FROM turns GROUP BY file, speaker)
+SELECT file, ord, speaker AS label, canon FROM turns JOIN z USING (file, speaker)""")
+def c6(spark, d):
+    return sequences.canonical_labels(derived.turns(spark, d).select("file", "ord", F.col("speaker").alias("label")))
+
+
+@query("c29_majority_map", """, p AS (SELECT file, speaker AS local, ord % 3 AS global_id, sum(ef - sf) AS seconds FROM turns GROUP BY ALL)
+SELECT file, local, global_id FROM p WHERE seconds > 0 QUALIFY row_number() OVER (PARTITION BY file, local ORDER BY seconds DESC, global_id) = 1""")
+def c29(spark, d):
+    return sequences.majority_map(derived.turns(spark, d).select("file", F.col("speaker").alias("local"), (F.col("ord") % 3).alias("global_id"), (F.col("ef") - F.col("sf")).alias("seconds")))
+
+
+@query("i11_interpolate_times", """, w AS (SELECT file, word_ord, start, CASE WHEN word_ord % 4 = 0 THEN start ELSE "end" END AS "end" FROM words),
+n AS (SELECT *, NOT ("end" > start) AS bad FROM w),
+p AS (SELECT *, last_value(CASE WHEN NOT bad THEN "end" END IGNORE NULLS) OVER (PARTITION BY file ORDER BY word_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe,
+                first_value(CASE WHEN NOT bad THEN start END IGNORE NULLS) OVER (PARTITION BY file ORDER BY word_ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS ns FROM n),
+x AS (SELECT *, CASE WHEN pe IS NOT NULL THEN pe WHEN ns IS NOT NULL THEN greatest(ns - 0.001::DOUBLE, 0) ELSE 0 END AS s2, CASE WHEN ns IS NOT NULL THEN ns WHEN pe IS NOT NULL THEN pe + 0.001::DOUBLE ELSE 0.001::DOUBLE END AS e2 FROM p)
+SELECT file, word_ord, CASE WHEN NOT bad THEN start WHEN e2 > s2 THEN s2 ELSE greatest(s2, 0) END AS start, CASE WHEN NOT bad THEN "end" WHEN e2 > s2 THEN e2 ELSE greatest(s2, 0) + 0.001::DOUBLE END AS "end", bad AS interpolated FROM x""")
+def i11(spark, d):
+    w = derived.words(spark, d).select("file", "word_ord", "start", F.when(F.col("word_ord") % 4 == 0, F.col("start")).otherwise(F.col("end")).alias("end"))
+    return sequences.interpolate_times(w)
+
+
+@query("a21_label_flip_rate", "SELECT file, avg((t.speaker <> h.speaker)::INT::DOUBLE) AS rate FROM turns t JOIN hyp h USING (file, ord) GROUP BY file")
+def a21(spark, d):
+    pick = lambda df: df.select("file", F.col("ord").alias("place"), F.col("speaker").alias("label"))
+    return sequences.label_flip_rate(pick(derived.turns(spark, d)), pick(derived.hypothesis(spark, d)))
