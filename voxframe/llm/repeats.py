@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxframe.llm.common import cut, id_and_text, prepare
+from voxframe.llm.common import cut, id_and_text, prepare, stored
 
 MOST = 2000
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -113,20 +113,28 @@ def repeated_windows(docs: DataFrame, shape: Shape, kernel: Callable[[list, pd.D
         import pyarrow as pa
 
         for batch in batches:
-            for doc_id, text, th in zip(*(batch.column(i) for i in range(3))):
-                place, first, last, h, full = anchors(shape.units(text.as_py()), shape)
-                if len(place):
-                    n = len(place)
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()] * n, pa.int64()), pa.array([th.as_py()] * n, pa.int64()), pa.array(place.astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(h), pa.array(full)], ["doc_id", "th", "place", "first", "last", "h", "full"])
-
-    found = cut(rows.select("doc_id", "text", "th").mapInArrow(find, "doc_id long, th long, place int, first int, last int, h long, full long"))
-    occurrence = F.struct("doc_id", "th", "place", "first", "last")
-    classes = found.groupBy("h", "full").agg(F.count(F.lit(1)).alias("n"), F.min(occurrence).alias("least"))
-    counts = classes.groupBy("h").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("all")).where("all > 1")
-    classes = cut(classes.join(counts.withColumnRenamed("h", "h2"), F.col("h") == F.col("h2")).select("h", "full", "n", "least", "classes"))
+            for start in range(0, batch.num_rows, 500):
+                doc_ids, hashes, parts = [], [], []
+                for doc_id, text, th in zip(*(batch.column(i).slice(start, 500).to_pylist() for i in range(3))):
+                    place, first, last, h, full = anchors(shape.units(text), shape)
+                    doc_ids += [doc_id] * len(place)
+                    hashes += [th] * len(place)
+                    parts.append((first.astype(np.int32), (place - first).astype(np.int32), (last - first).astype(np.int32), h, full))
+                if doc_ids:
+                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(hashes, pa.int64()), *(pa.array(np.concatenate(x)) for x in zip(*parts) if x)], ["doc_id", "th", "first", "lead", "more", "h", "full"])
+
+    # Most anchors occur once and end with a count of their hashes alone.
+    found = stored(rows.select("doc_id", "text", "th").mapInArrow(find, "doc_id long, th long, first int, lead int, more int, h long, full long"))
+    shared = found.groupBy("h").agg(F.count(F.lit(1)).alias("all")).where("all > 1").select(F.col("h").alias("h2"))
+    found = stored(found.join(shared, F.col("h") == F.col("h2"), "left_semi"))
+    occurrence = F.struct("doc_id", "th", "first")
+    classes = found.groupBy("h", "full").agg(F.count(F.lit(1)).alias("n"), F.min(occurrence).alias("least"), F.min("lead").alias("lead"), F.min("more").alias("more"))
+    counts = classes.groupBy("h").agg(F.count(F.lit(1)).alias("classes")).withColumnRenamed("h", "h2")
+    classes = cut(classes.join(counts, F.col("h") == F.col("h2")).select("h", "full", "n", "least", "lead", "more", "classes"))
 
     # One member of each class of a shared anchor, with its units.
-    members = classes.where("classes > 1").groupBy(F.col("least.doc_id").alias("d"), F.col("least.th").alias("t")).agg(F.collect_list(F.struct("h", "full", "n", "classes", "least.place", "least.first", "least.last")).alias("of"))
+    member = F.struct("h", "full", "n", "classes", (F.col("least.first") + F.col("lead")).alias("place"), "least.first", (F.col("least.first") + F.col("more")).alias("last"))
+    members = classes.where("classes > 1").groupBy(F.col("least.doc_id").alias("d"), F.col("least.th").alias("t")).agg(F.collect_list(member).alias("of"))
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))
     carried = rows.join(members, same)
 
@@ -176,7 +184,7 @@ def repeated_windows(docs: DataFrame, shape: Shape, kernel: Callable[[list, pd.D
     verdicts = judged.unionAll(hot).withColumnRenamed("h", "vh").withColumnRenamed("full", "vf")
 
     known = cut(classes.join(verdicts, (F.col("h") == F.col("vh")) & (F.col("full") == F.col("vf")), "left").select(F.col("h").alias("kh"), F.col("full").alias("kf"), "n", "least", "runs").where("n > 1 or size(runs) > 0"))
-    whole = F.array(F.array("first", "last"))
+    whole = F.array(F.array(F.col("first"), F.col("first") + F.col("more")))
     part = F.transform(F.coalesce("runs", F.array().cast("array<array<int>>")), lambda r: F.array(r[0] + F.col("first"), r[1] + F.col("first")))
     all_go = occurrence != F.col("least") if shape.earlier else F.col("n") > 1
     back = found.join(known, (F.col("h") == F.col("kh")) & (F.col("full") == F.col("kf"))).select("doc_id", "th", F.when(all_go, whole).otherwise(part).alias("r"))
