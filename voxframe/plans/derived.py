@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,16 @@ words AS (SELECT file, ord * 3 + k AS word_ord, start + k * 0.125::DOUBLE AS sta
 """
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package, wherever the driver was started."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = spark.sparkContext.environment.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
     ts = F.col("ts").cast("timestamp")
     since = F.expr("(unix_micros(cast(ts as timestamp)) - unix_micros(cast(to_date(ts) as timestamp))) div 1000")
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", F.date_format(ts, "yyyy-MM-dd").alias("file"), since.alias("start_ms"), F.greatest(F.lit(250), F.round(F.col("value") * 1000).cast("long")).alias("dur_ms"))
