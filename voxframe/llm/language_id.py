@@ -83,7 +83,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
         for batch in texts:
             yield pd.DataFrame([identifier.predict(t) for t in batch], columns=["lang_pred", "score", "rejected"])
 
-    predict = F.pandas_udf(predict, "lang_pred string, score double, rejected boolean")
+    # Marked so that a later filter on a result isn't pushed below, which would encode every text twice.
+    predict = F.pandas_udf(predict, "lang_pred string, score double, rejected boolean").asNondeterministic()
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected", "_lid")]
     return docs.withColumn("_lid", predict(F.col(text_col).cast("string"))).select(*names, "_lid.lang_pred", "_lid.score", "_lid.rejected")
 
