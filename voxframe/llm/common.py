@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 #: The words of a text: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Make the package importable for Python workers and the checkpoint folder known.
 
     The cluster's ``spark.checkpoint.dir`` is used where it is set; a folder of our own only
-    where it is not (tests in local mode).
+    where it is not (tests in local mode). Batches for Python are bounded in bytes, as texts may be long.
     """
     sc = spark.sparkContext
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -27,6 +28,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="voxframe-checkpoints-"))
+    if spark.conf.get(BATCH_KEY, "1") == "1":  # not set
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
     return spark
 
 
