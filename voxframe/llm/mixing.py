@@ -58,14 +58,19 @@ def budgets(sources: DataFrame) -> DataFrame:
     return filled.withColumn("level", level).select("source", "source_size", "weight", F.when(F.col("level").isNull(), limit).otherwise(F.least(limit, F.col("level") * F.col("weight"))).alias("target"))
 
 
-def mix(docs: DataFrame, weight_col: str | None = None) -> DataFrame:
-    """The columns doc_id, tie (a hash of the text), source, weight, key, size, source_size, target, taken, one row for each document."""
+def mix(docs: DataFrame, weight_col: str | None = None, labels: DataFrame | None = None) -> DataFrame:
+    """The columns doc_id, tie (a hash of the text), source, weight, key, size, source_size, target, taken, one row for each document.
+
+    The quality weight is a column of ``docs`` or comes from ``labels``, which meet rows without texts.
+    """
     prepare(docs.sparkSession)
     weight = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"),
         F.xxhash64("text").alias("tie"), F.when(weight > 0, weight).otherwise(1.0).alias("quality"),
     )
+    if labels is not None:
+        rows = quality_weight(rows.drop("quality"), labels).withColumnRenamed("quality_weight", "quality")
     rows = cut(rows.withColumn("key", -F.log(variate(F.col("doc_id"))) / F.col("quality")).withColumn("slice", F.floor((1 - F.exp(-F.col("key"))) * SLICES).cast("int")))
     slices = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     plan = budgets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
@@ -91,12 +96,12 @@ def quality_weight(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return found.select("row.*", F.when(F.col("_quality") == 1, 2.0).when(F.col("_quality") == 0, 0.5).otherwise(1.0).alias("quality_weight"))
 
 
-def mixture(docs: DataFrame, weight_col: str | None = None) -> DataFrame:
+def mixture(docs: DataFrame, weight_col: str | None = None, labels: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them; the row that straddles a budget is cut to its words, space-joined.
 
     Rows that agree in id and text are taken alike. n_chars follows a cut text; other columns stay.
     """
-    plan = mix(docs, weight_col).groupBy(F.col("doc_id").alias("planned"), F.col("tie").alias("planned_tie")).agg(F.max("size").alias("size"), F.max("taken").alias("taken")).where("taken > 0")
+    plan = mix(docs, weight_col, labels).groupBy(F.col("doc_id").alias("planned"), F.col("tie").alias("planned_tie")).agg(F.max("size").alias("size"), F.max("taken").alias("taken")).where("taken > 0")
     rows = docs.select(F.struct(*[c for c in docs.columns if c != weight_col]).alias("row"))
     rows = rows.join(plan, F.col("row.doc_id").cast("long").eqNullSafe(F.col("planned")) & (F.xxhash64("row.text") == F.col("planned_tie")))
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))

@@ -36,10 +36,9 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from voxframe.llm.mixing import mix, quality_weight
+    from voxframe.llm.mixing import mix
 
-    docs = quality_weight(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return mix(docs, "quality_weight").select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
