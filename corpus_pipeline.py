@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from voxframe.llm.bpe_codec import encode_documents
 from voxframe.llm.common import cut, table
 from voxframe.llm.language_id import keep_identified
-from voxframe.llm.mixing import mixture, quality_weight
+from voxframe.llm.mixing import mixture
 from voxframe.llm.queries import tokenizer_path
 from voxframe.llm.secrets_scan import mask_secrets
 from voxframe.llm.simhash import keep_one
@@ -35,7 +35,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes documents, once or again, so that the sources meet their targets."""
-    return mixture(quality_weight(docs, table(spark, sf_dir, "labels")), "quality_weight").select(*docs.columns)
+    return mixture(docs, labels=table(spark, sf_dir, "labels")).select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
