@@ -107,7 +107,7 @@ def repeated_windows(docs: DataFrame, shape: Shape, kernel: Callable[[list, pd.D
     th; texts: the packed units), an array of flags, one for each window, whether it is removed.
     """
     prepare(docs.sparkSession)
-    rows = id_and_text(docs).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("th", F.xxhash64("text"))
+    rows = id_and_text(docs).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("th", F.hash("text"))
 
     def find(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -119,34 +119,40 @@ def repeated_windows(docs: DataFrame, shape: Shape, kernel: Callable[[list, pd.D
                     place, first, last, h, full = anchors(shape.units(text), shape)
                     doc_ids += [doc_id] * len(place)
                     hashes += [th] * len(place)
-                    parts.append((first.astype(np.int32), (place - first).astype(np.int32), (last - first).astype(np.int32), h, full))
+                    parts.append((first << 32 | (place - first) << 16 | (last - first), h, full))
                 if doc_ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(hashes, pa.int64()), *(pa.array(np.concatenate(x)) for x in zip(*parts) if x)], ["doc_id", "th", "first", "lead", "more", "h", "full"])
+                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(hashes, pa.int32()), *(pa.array(np.concatenate(x)) for x in zip(*parts))], ["doc_id", "th", "pos", "h", "full"])
 
     # Most anchors occur once and end with a count of their hashes alone.
-    found = stored(rows.select("doc_id", "text", "th").mapInArrow(find, "doc_id long, th long, first int, lead int, more int, h long, full long"))
+    found = stored(rows.select("doc_id", "text", "th").mapInArrow(find, "doc_id long, th int, pos long, h long, full long"))
     shared = found.groupBy("h").agg(F.count(F.lit(1)).alias("all")).where("all > 1").select(F.col("h").alias("h2"))
     found = stored(found.join(shared, F.col("h") == F.col("h2"), "left_semi"))
-    occurrence = F.struct("doc_id", "th", "first")
-    classes = found.groupBy("h", "full").agg(F.count(F.lit(1)).alias("n"), F.min(occurrence).alias("least"), F.min("lead").alias("lead"), F.min("more").alias("more"))
+    occurrence = F.struct("doc_id", "th", "pos")
+    classes = found.groupBy("h", "full").agg(F.count(F.lit(1)).alias("n"), F.min(occurrence).alias("least"))
     counts = classes.groupBy("h").agg(F.count(F.lit(1)).alias("classes")).withColumnRenamed("h", "h2")
-    classes = cut(classes.join(counts, F.col("h") == F.col("h2")).select("h", "full", "n", "least", "lead", "more", "classes"))
+    classes = cut(classes.join(counts, F.col("h") == F.col("h2")).select("h", "full", "n", "least", "classes"))
 
-    # One member of each class of a shared anchor, with its units.
-    member = F.struct("h", "full", "n", "classes", (F.col("least.first") + F.col("lead")).alias("place"), "least.first", (F.col("least.first") + F.col("more")).alias("last"))
-    members = classes.where("classes > 1").groupBy(F.col("least.doc_id").alias("d"), F.col("least.th").alias("t")).agg(F.collect_list(member).alias("of"))
+    # One member of each class of a shared anchor, with its units. All joins with texts are part of one
+    # query and have the same key, so that the texts are dealt out once for them together.
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))
-    carried = rows.join(members, same)
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["h", "full", "n", "doc_id", "th", "place", "first", "last", "units"]
         for batch in batches:
-            for doc_id, text, th, of in zip(batch["doc_id"], batch["text"], batch["th"], batch["of"]):
-                values = shape.units(text)
-                out = [(r["h"], r["full"], r["n"], r["classes"], doc_id, th, r["place"], r["first"], r["last"], shape.pack(values[r["first"] : r["last"] + shape.width])) for r in of]
-                yield pd.DataFrame(out, columns=["h", "full", "n", "classes", "doc_id", "th", "place", "first", "last", "units"]).astype({"doc_id": "Int64"})
-
-    schema = "h long, full long, n long, classes long, doc_id long, th long, place int, first int, last int, units binary"
-    carried = cut(carried.select("doc_id", "text", "th", "of").mapInPandas(extract, schema).dropDuplicates(["h", "full"]))
+            for start in range(0, len(batch), 100):
+                part, out = batch.iloc[start : start + 100], []
+                for doc_id, text, th, of in zip(part["doc_id"], part["text"], part["th"], part["of"]):
+                    values = shape.units(text)
+                    for r in of:
+                        first, lead, more = r["pos"] >> 32, r["pos"] >> 16 & 0xFFFF, r["pos"] & 0xFFFF
+                        out.append((r["h"], r["full"], r["n"], doc_id, th, first + lead, first, first + more, shape.pack(values[first : first + more + shape.width])))
+                yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
+
+    def carried(which) -> DataFrame:
+        member = F.struct("h", "full", "n", "least.pos")
+        members = classes.where(which).groupBy(F.col("least.doc_id").alias("d"), F.col("least.th").alias("t")).agg(F.collect_list(member).alias("of"))
+        schema = "h long, full long, n long, doc_id long, th int, place int, first int, last int, units binary"
+        return rows.join(members, same).select("doc_id", "text", "th", "of").mapInPandas(extract, schema).dropDuplicates(["h", "full"])
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -165,7 +171,7 @@ def repeated_windows(docs: DataFrame, shape: Shape, kernel: Callable[[list, pd.D
         if held is not None and len(held):
             yield done(held)
 
-    grouped = carried.where(F.col("classes") <= MOST).repartition("h").sortWithinPartitions("h", "doc_id", "th", "place")
+    grouped = carried((F.col("classes") > 1) & (F.col("classes") <= MOST)).repartition("h").sortWithinPartitions("h", "doc_id", "th", "place")
     judged = grouped.mapInPandas(judge, "h long, full long, runs array<array<int>>")
 
     # Very common anchors: single windows, counted by their hash.
@@ -176,16 +182,17 @@ def repeated_windows(docs: DataFrame, shape: Shape, kernel: Callable[[list, pd.D
                 at = np.arange(last - first + 1)
                 yield pd.DataFrame({"h": h, "full": full, "n": n, "doc_id": pd.array([doc_id] * len(at), dtype="Int64"), "th": th, "at": at, "start": at + first, "w": Sums(values).of(at, at + shape.width).view(np.int64)})
 
-    single = carried.where(F.col("classes") > MOST).mapInPandas(split, "h long, full long, n long, doc_id long, th long, at int, start int, w long")
+    single = carried(F.col("classes") > MOST).mapInPandas(split, "h long, full long, n long, doc_id long, th int, at int, start int, w long")
     seen = single.groupBy("w").agg(F.sum("n").alias("all"), F.min(F.struct("doc_id", "th", "start")).alias("least")).where("all > 1").withColumnRenamed("w", "w2")
     own = F.struct("doc_id", "th", "start")
     hit = single.join(seen, F.col("w") == F.col("w2")).where(own != F.col("least") if shape.earlier else F.lit(True))
     hot = hit.groupBy("h", "full").agg(F.transform(F.sort_array(F.collect_set("at")), lambda x: F.array(x, x)).alias("runs"))
     verdicts = judged.unionAll(hot).withColumnRenamed("h", "vh").withColumnRenamed("full", "vf")
 
-    known = cut(classes.join(verdicts, (F.col("h") == F.col("vh")) & (F.col("full") == F.col("vf")), "left").select(F.col("h").alias("kh"), F.col("full").alias("kf"), "n", "least", "runs").where("n > 1 or size(runs) > 0"))
-    whole = F.array(F.array(F.col("first"), F.col("first") + F.col("more")))
-    part = F.transform(F.coalesce("runs", F.array().cast("array<array<int>>")), lambda r: F.array(r[0] + F.col("first"), r[1] + F.col("first")))
+    known = classes.join(verdicts, (F.col("h") == F.col("vh")) & (F.col("full") == F.col("vf")), "left").select(F.col("h").alias("kh"), F.col("full").alias("kf"), "n", "least", "runs").where("n > 1 or size(runs) > 0")
+    first, more = F.shiftright("pos", 32).cast("int"), F.col("pos").bitwiseAND(0xFFFF).cast("int")
+    whole = F.array(F.array(first, first + more))
+    part = F.transform(F.coalesce("runs", F.array().cast("array<array<int>>")), lambda r: F.array(r[0] + first, r[1] + first))
     all_go = occurrence != F.col("least") if shape.earlier else F.col("n") > 1
     back = found.join(known, (F.col("h") == F.col("kh")) & (F.col("full") == F.col("kf"))).select("doc_id", "th", F.when(all_go, whole).otherwise(part).alias("r"))
     by_doc = back.where(F.size("r") > 0).groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.flatten(F.collect_set("r")).alias("runs"))
