@@ -24,12 +24,28 @@ from pyspark.sql import functions as F
 from voxframe.llm.repeats import Shape, covered, repeated_windows
 
 WIDTH, GRAM = 20, 8
+#: Words of the memory of hashes.
+REMEMBERED = 200_000
 
 
-def units(text: str) -> np.ndarray:
-    from xxhash import xxh64_intdigest
+class Hashes(dict):
+    """Hashes of words, remembered; emptied where the words get too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = found = xxh64_intdigest(word)
+        return found
+
 
-    return np.array([xxh64_intdigest(w) for w in text.encode("utf-8").split()], dtype=np.uint64)
+_hashes = Hashes()
+
+
+def units(text: str) -> np.ndarray:
+    words = text.encode("utf-8").split()
+    return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def kernel(width: int):
