@@ -125,7 +125,8 @@ def repeated_windows(docs: DataFrame, shape: Shape, kernel: Callable[[list, pd.D
 
     # Most anchors occur once and end with a count of their hashes alone.
     found = stored(rows.select("doc_id", "text", "th").mapInArrow(find, "doc_id long, th int, pos long, h long, full long"))
-    shared = found.groupBy("h").agg(F.count(F.lit(1)).alias("all")).where("all > 1").select(F.col("h").alias("h2"))
+    # Their hashes are written, so that both sides of the join are plain exchanges and a hot one is split.
+    shared = stored(found.groupBy("h").agg(F.count(F.lit(1)).alias("all")).where("all > 1").select(F.col("h").alias("h2")))
     found = stored(found.join(shared, F.col("h") == F.col("h2"), "left_semi"))
     occurrence = F.struct("doc_id", "th", "pos")
     classes = found.groupBy("h", "full").agg(F.count(F.lit(1)).alias("n"), F.min(occurrence).alias("least"))
