@@ -14,8 +14,8 @@ from voxframe.llm.common import cut, table
 from voxframe.llm.language_id import keep_identified
 from voxframe.llm.mixing import mixture
 from voxframe.llm.queries import tokenizer_path
+from voxframe.llm.near_copies import keep_one
 from voxframe.llm.secrets_scan import mask_secrets
-from voxframe.llm.simhash import keep_one
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -100,14 +100,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(ids, prints["fp"] == F.col("_fp"), "left").select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that represent their group: those with the group's least id; of repeated rows, one."""
-    # A key without nulls, so that the join and the removal of repeated rows deal the texts out once.
-    key = lambda c: F.coalesce(F.col(c).cast("long").cast("string"), F.lit("null"))
-    least = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key("doc_id").alias("least")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), key("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"))
-    return rows.join(least, F.col("id") == F.col("least"), "left_semi").dropDuplicates(["id", "text_hash"]).select("row.*")
-
-
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
