@@ -89,6 +89,7 @@ class ByteBPE:
             self.bytes_of[i] = token.encode()
         self.split = regex.compile(SPLIT).findall
         self.unsure = regex.compile(UNSURE).search
+        self.at_run = regex.compile(r" \s|\s ").search
         self.at_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self._library = None
         self.of_word = Remembered(self.packed, CACHE_WORDS).__getitem__
@@ -156,10 +157,11 @@ class ByteBPE:
     def plain(self, text: str) -> bytes:
         """Ids of a text without special strings.
 
-        A split word never runs on into a single space, so the text can be taken apart at its
-        single spaces and whole spaced pieces remembered; runs of spaces need the full pattern.
+        A split word never runs on into a space between two characters that are no white space, so a
+        text can be taken apart at such spaces and whole spaced pieces remembered; where white space
+        of any kind touches a space, one word may hold both, which needs the full pattern.
         """
-        if "  " in text:
+        if self.at_run(text):
             return b"".join(map(self.of_word, self.words(text)))
         first, *rest = text.split(" ")
         return b"".join(map(self.of_word, self.words(first))) + b"".join(map(self.of_spaced, rest))
