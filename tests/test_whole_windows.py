@@ -1,0 +1,17 @@
+"""The windows over whole days."""
+
+import os
+
+import duckdb
+import pytest
+
+from voxframe.plans.registry import QUERIES
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
+def test_windows_cover_whole_days(spark):
+    con = duckdb.connect()
+    longest = con.sql(f"SELECT max((epoch_us(ts) - epoch_us(date_trunc('day', ts))) // 10000) FROM '{DATA}/events.parquet'").fetchall()[0][0]
+    assert QUERIES["w2_windows_partial_whole"](spark, DATA).agg({"end": "max"}).collect()[0][0] >= longest > 8_000_000

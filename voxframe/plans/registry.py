@@ -248,3 +248,10 @@ def i11(spark, d):
 def a21(spark, d):
     pick = lambda df: df.select("file", F.col("ord").alias("place"), F.col("speaker").alias("label"))
     return sequences.label_flip_rate(pick(derived.turns(spark, d)), pick(derived.hypothesis(spark, d)))
+
+
+for _name, _partial in (("w1_windows_whole", False), ("w2_windows_partial_whole", True)):
+    query(_name, f""", t AS (SELECT file, max(ef) AS total FROM turns GROUP BY file)
+SELECT file, CAST(s // 200 AS INTEGER) AS win, s AS start, least(s + 500, total) AS "end" FROM t, unnest(range(0, total {'' if _partial else '- 499'}, 200)) AS x(s)""")(
+        lambda spark, d, partial=_partial: intervals.sliding_windows(derived.whole_totals(spark, d), 500, 200, partial)
+    )
