@@ -1,0 +1,55 @@
+"""The queries over whole recordings and whole conversation texts, against DuckDB over the same tables."""
+
+import os
+
+import duckdb
+import pytest
+
+from voxframe.operators import intervals
+from voxframe.plans.registry import QUERIES
+
+DATA = "/root/testdata/sf0.001"
+
+WORDS = r"""WITH c AS (SELECT conv_id AS file, turn AS ord, role, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '') AS texts FROM conversations),
+d AS (SELECT *, greatest(250, 60 * len(texts)) AS dur, dense_rank() OVER (PARTITION BY file ORDER BY role) - 1 AS speaker FROM c),
+t AS (SELECT *, greatest(0, coalesce(sum(dur - 100) OVER b, 0))::BIGINT AS s, coalesce(sum(len(texts)) OVER b, 0)::BIGINT AS done FROM d WINDOW b AS (PARTITION BY file ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+turns AS (SELECT file, ord, speaker, s / 1000.0::DOUBLE AS start, (s + dur) / 1000.0::DOUBLE AS "end" FROM t),
+e AS (SELECT file, done + k AS word_ord, s + k * dur // len(texts) AS a, s + (k + 1) * dur // len(texts) AS z, texts[k + 1] AS word FROM t, unnest(range(0, len(texts))) AS x(k)),
+words AS (SELECT file, word_ord, a / 1000.0::DOUBLE AS start, CASE WHEN word_ord % 13 = 12 THEN a ELSE z END / 1000.0::DOUBLE AS "end", word FROM e) """
+EXPECTED = {
+    "i9_label_words_whole": """SELECT file, word_ord, word, coalesce((SELECT arg_min(t.speaker, t.ord) FROM turns t WHERE t.file = w.file AND t.start <= (w.start + w."end") / 2 AND (w.start + w."end") / 2 <= t."end"),
+        (SELECT arg_max(t.speaker, t.ord) FROM turns t WHERE t.file = w.file)) AS speaker, 1.0::DOUBLE AS confidence FROM words w""",
+    "i11_interpolate_times_whole": """SELECT file, word_ord, start, "end", FALSE AS interpolated FROM words WHERE "end" > start""",
+    "i12_attribute_words_whole": """, b AS (SELECT w.file, w.word_ord, t.speaker, least(w."end", t."end") - greatest(w.start, t.start) AS shared FROM words w JOIN turns t ON w.file = t.file AND w.start < t."end" AND t.start < w."end"
+        WHERE least(w."end", t."end") > greatest(w.start, t.start) QUALIFY row_number() OVER (PARTITION BY w.file, w.word_ord ORDER BY shared DESC, t.speaker, t.ord) = 1)
+        SELECT w.file, w.word_ord, b.speaker, coalesce(b.shared, 0) AS shared FROM words w LEFT JOIN b USING (file, word_ord)""",
+    "i13_sentences_whole": None,
+}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
+@pytest.mark.parametrize("name", sorted(EXPECTED))
+def test_every_word_of_every_conversation(spark, name):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS FROM '{DATA}/conversations.parquet'")
+    n_words = con.sql(WORDS + "SELECT count(*) FROM words").fetchall()[0][0]
+    rows = QUERIES[name](spark, DATA).collect()
+    if EXPECTED[name] is None:
+        assert sum(r["n_words"] for r in rows) == n_words
+        return
+    assert len(rows) == n_words
+
+    def plain(rows):
+        return sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows), key=str)
+
+    sql = WORDS + EXPECTED[name]
+    columns = QUERIES[name](spark, DATA).columns
+    expected = con.sql(f"SELECT {', '.join(f'"{c}"' for c in columns)} FROM ({sql})").fetchall()
+    assert plain([r for r in rows if name[:3] != "i11" or not r["interpolated"]]) == plain(expected)
+
+
+def test_label_words_falls_back_to_the_last_turn(spark):
+    turns = spark.createDataFrame([("f", 0, 3, 0.0, 1.0), ("f", 1, 5, 2.0, 3.0)], "file string, ord long, speaker long, start double, end double")
+    words = spark.createDataFrame([("f", 0, 0.2, 0.4, "a"), ("f", 1, 1.2, 1.4, "b")], "file string, word_ord long, start double, end double, word string")
+    for last, expected in ((False, [(0, 3, 1.0), (1, None, 0.0)]), (True, [(0, 3, 1.0), (1, 5, 1.0)])):
+        assert sorted((r["word_ord"], r["speaker"], r["confidence"]) for r in intervals.label_words(words, turns, last).collect()) == expected

@@ -68,6 +68,15 @@ def speaker_at_midpoint(words: DataFrame, turns: DataFrame, width: float = 60.0)
     return mids.join(best, (F.col("file") == F.col("bf")) & (F.col("word_ord") == F.col("bo")), "left").drop("bf", "bo", "mid")
 
 
+def label_words(words: DataFrame, turns: DataFrame, last_turn: bool) -> DataFrame:
+    """words with the speaker at the midpoint and confidence 1.0 or 0.0; last_turn: words that no turn covers get the last turn's speaker."""
+    found = speaker_at_midpoint(words, turns)
+    if last_turn:
+        last = turns.groupBy(F.col("file").alias("lf")).agg(F.max_by("speaker", "ord").alias("last"))
+        found = found.join(last, F.col("file") == F.col("lf"), "left").withColumn("speaker", F.coalesce("speaker", "last")).drop("lf", "last")
+    return found.withColumn("confidence", F.when(F.col("speaker").isNotNull(), 1.0).otherwise(0.0))
+
+
 def attribute_words(words: DataFrame, turns: DataFrame, width: float = 60.0) -> DataFrame:
     """words with the speaker of the turn of most overlap; ties to the smaller speaker, then the earlier turn; no overlap: null."""
     right = turns.select(F.col("file").alias("rfile"), F.col("ord").alias("t_ord"), F.col("speaker").alias("t_speaker"), F.col("start").alias("rstart"), F.col("end").alias("rend"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxframe.functions.turns import end_frame, first_frame
@@ -68,3 +68,24 @@ def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def whole_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file, total: the whole length of each day in frames."""
     return turns(spark, sf_dir).groupBy("file").agg(F.max("ef").alias("total"))
+
+
+def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file (a conversation), ord, speaker, start_ms, dur_ms, start, end, texts (its words): 60 ms a word, 250 at least; turns overlap by 100 ms."""
+    importable(spark)
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("file"), F.col("turn").alias("ord"), "role", F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "").alias("texts"))
+    rows = rows.withColumn("dur_ms", F.greatest(F.lit(250), 60 * F.size("texts")).cast("long"))
+    before = Window.partitionBy("file").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.greatest(F.lit(0), F.coalesce(F.sum(F.col("dur_ms") - 100).over(before), F.lit(0))).cast("long")
+    rows = rows.withColumn("start_ms", start).withColumn("speaker", F.dense_rank().over(Window.partitionBy("file").orderBy("role")).cast("long") - 1)
+    return rows.select("file", "ord", "speaker", "start_ms", "dur_ms", (F.col("start_ms") / 1000.0).alias("start"), ((F.col("start_ms") + F.col("dur_ms")) / 1000.0).alias("end"), "texts")
+
+
+def conversation_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file, word_ord, start, end, word: every word of every conversation, in even slots of its turn; each 13th has no length."""
+    before = Window.partitionBy("file").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    t = conversation_turns(spark, sf_dir).withColumn("n", F.size("texts").cast("long")).withColumn("done", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    w = t.select("file", "start_ms", "dur_ms", "n", "done", F.posexplode("texts").alias("k", "word")).withColumn("word_ord", F.col("done") + F.col("k"))
+    at = F.expr("start_ms + k * dur_ms div n")
+    after = F.when(F.col("word_ord") % 13 == 12, at).otherwise(F.expr("start_ms + (k + 1) * dur_ms div n"))
+    return w.select("file", "word_ord", (at / 1000.0).alias("start"), (after / 1000.0).alias("end"), "word")

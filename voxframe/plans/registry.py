@@ -255,3 +255,23 @@ for _name, _partial in (("w1_windows_whole", False), ("w2_windows_partial_whole"
 SELECT file, CAST(s // 200 AS INTEGER) AS win, s AS start, least(s + 500, total) AS "end" FROM t, unnest(range(0, total {'' if _partial else '- 499'}, 200)) AS x(s)""")(
         lambda spark, d, partial=_partial: intervals.sliding_windows(derived.whole_totals(spark, d), 500, 200, partial)
     )
+
+
+@query("i9_label_words_whole")
+def i9_whole(spark, d):
+    return intervals.label_words(derived.conversation_words(spark, d), derived.conversation_turns(spark, d), True).select("file", "word_ord", "word", "speaker", "confidence")
+
+
+@query("i11_interpolate_times_whole")
+def i11_whole(spark, d):
+    return sequences.interpolate_times(derived.conversation_words(spark, d).select("file", "word_ord", "start", "end"))
+
+
+@query("i12_attribute_words_whole")
+def i12_whole(spark, d):
+    return intervals.attribute_words(derived.conversation_words(spark, d), derived.conversation_turns(spark, d)).select("file", "word_ord", "speaker", "shared")
+
+
+@query("i13_sentences_whole")
+def i13_whole(spark, d):
+    return intervals.sentences(derived.conversation_words(spark, d)).groupBy("file", "sentence").agg(F.count(F.lit(1)).alias("n_words"), F.min("start").alias("start"))
