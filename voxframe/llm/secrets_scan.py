@@ -1,13 +1,15 @@
 """Secret scan with DataFrame functions only (operator 7).
 
 Base spans come from three fixed patterns. The method adds spans: tokens of at least
-``LEAST_TOKEN`` characters whose encoding can be inferred (upper-case hex, base32, base64) go
-through a randomness battery: chi-squared uniformity over the encoding's alphabet, a runs test and
-a lag-1 serial-correlation test on the symbols' places. A token is kept if the battery doesn't
-reject uniformity and its coincidence count is too low for written text; the latter p-values are
-held against a false-discovery rate (Benjamini-Hochberg) within each class of length, over the
-whole corpus, since a short token can show little. Only a count for each class and step of p
-reaches the driver.
+``LEAST_TOKEN`` characters whose encoding can be inferred (upper-case hex, base32, base36, base62,
+base64; all need a digit) go through a randomness battery: chi-squared uniformity over the
+encoding's alphabet, a runs test and a lag-1 serial-correlation test on the symbols' places. A token
+is kept if the battery doesn't reject uniformity and it is unlike written text: written letters have
+the frequencies of prose (a normal test of their mean log-frequency), and digits come in runs (a
+binomial test of the changes between letter and digit). Hex has only the latter, as six letters show
+no prose; the others have both, combined by Fisher's rule. These p-values are held against a
+false-discovery rate (Benjamini-Hochberg) within each class of length, over the whole corpus, since
+a short token can show little. Only a count for each class and step of p reaches the driver.
 
 Rows: a null text counts as empty; ties (equal starts) are ordered as the kinds are listed; a
 repeated row is scanned alike; an empty table gives an empty result. Starts and ends are code
@@ -30,12 +32,14 @@ LEAST_VALUE = 12
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # maximal runs, so the same spans as AKIA[A-Z0-9]+ of 18 or more
 HEX = r"[0-9a-f]{16,}"  # likewise for [0-9a-f]+ of 16 or more
 KINDS = ("assign", "access", "hex", "random")
-LEAST_TOKEN = 24
-TOKEN = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST_TOKEN},}}+"
+LEAST_TOKEN = 12
+TOKEN = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{{LEAST_TOKEN},}}+"  # with a digit
 #: Symbols of the encodings in their order; url-safe base64 has its last two under other names.
-ALPHABETS = {"hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
-#: Chance that two letters of written text are equal, and the two error rates.
-TEXT_COINCIDENCE, UNIFORM_LEVEL, FALSE_DISCOVERY = 0.066, 0.001, 0.001
+ALPHABETS = {"hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+#: Letters of written text a to z, per thousand; the share of places where written tokens change between letter and digit; the two error rates.
+LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
+CHANGES, UNIFORM_LEVEL, FALSE_DISCOVERY = 0.15, 0.001, 0.001
+LONG_TOKEN = 1000  # from here on, a bound on the binomial tail
 P_STEPS = 400  # of a tenth of a decimal digit
 
 SPANS = "array<struct<start:int,kind:int,end:int>>"
@@ -64,16 +68,46 @@ def located(text: Column, pattern: str, kind: int, keep: Column | None = None, v
     return F.when(text.rlike(pattern), F.aggregate(steps, start, step, lambda s: s["spans"])).otherwise(F.array().cast(SPANS))
 
 
+def unlike_text(token: Column, encoding: Column) -> Column:
+    """p-value of a token of the encoding under the rates of written text; low for random tokens."""
+    total = sum(LETTERS)
+    weights = [math.log(26 * x / total) for x in LETTERS]
+    mean = sum(x * w for x, w in zip(LETTERS, weights)) / total
+    spread = math.sqrt(sum(x * w * w for x, w in zip(LETTERS, weights)) / total - mean * mean)
+    table = F.array(*map(F.lit, weights))
+    letters = F.filter(F.split(F.lower(token), ""), lambda c: c.between("a", "z"))
+    score = F.aggregate(letters, F.lit(0.0), lambda s, c: s + F.get(table, F.ascii(c) - 97))
+    n = F.greatest(F.size(letters), F.lit(1)).cast("double")  # a token without letters has no encoding, but may be computed
+    p_letters = normal_cdf((score - n * mean) / (spread * F.sqrt(n)))
+
+    kinds = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: c.between("0", "9"))
+    changes = F.aggregate(F.zip_with(F.slice(kinds, F.lit(1), F.size(kinds) - 1), F.slice(kinds, F.lit(2), F.size(kinds)), lambda a, b: a != b), F.lit(0.0), lambda s, x: s + F.when(x, 1.0).otherwise(0.0))
+    trials, odds = F.length(token).cast("double") - 1, CHANGES / (1 - CHANGES)
+    start = F.struct(F.pow(F.lit(1 - CHANGES), trials).alias("mass"), F.when(changes <= 0, F.pow(F.lit(1 - CHANGES), trials)).otherwise(0.0).alias("tail"))
+
+    def add(so_far: Column, i: Column) -> Column:
+        mass = so_far["mass"] * (trials - i + 1) / i * odds
+        return F.struct(mass.alias("mass"), (so_far["tail"] + F.when(i >= changes, mass).otherwise(0.0)).alias("tail"))
+
+    tail = F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), start, add, lambda s: s["tail"])
+    rate = F.least(F.greatest(changes / trials, F.lit(CHANGES)), F.lit(0.999999))
+    bound = F.exp(-trials * (rate * F.log(rate / CHANGES) + (1 - rate) * F.log((1 - rate) / (1 - CHANGES))))
+    p_changes = F.when(F.length(token) > LONG_TOKEN, bound).otherwise(F.least(tail, F.lit(1.0)))
+    both = F.greatest(p_letters * p_changes, F.lit(1e-300))
+    return F.when(encoding == "hex", p_changes).otherwise(both * (1 - F.log(both)))
+
+
 def battery(token: Column) -> Column:
     """struct(encoding, n, p_uniform, p_text) of a token; encoding is null where none can be inferred."""
     encoding = (
         F.when(token.rlike(r"^[0-9A-F]+$") & token.rlike(r"[0-9]") & token.rlike(r"[A-F]"), "hex")
         .when(token.rlike(r"^[A-Z2-7]+$") & token.rlike(r"[2-7]"), "base32")
-        .when(token.rlike(r"[A-Z]") & token.rlike(r"[a-z]") & token.rlike(r"[0-9]"), "base64")
+        .when(token.rlike(r"^([0-9A-Z]+|[0-9a-z]+)$") & token.rlike(r"[0-9]") & token.rlike(r"[A-Za-z]"), "base36")
+        .when(token.rlike(r"[A-Z]") & token.rlike(r"[a-z]") & token.rlike(r"[0-9]"), F.when(token.rlike(r"[+/_-]"), "base64").otherwise("base62"))
     )
-    alphabet = F.when(encoding == "hex", ALPHABETS["hex"]).when(encoding == "base32", ALPHABETS["base32"]).otherwise(ALPHABETS["base64"])
+    alphabet = F.create_map(*[F.lit(x) for kv in ALPHABETS.items() for x in kv])[encoding]
     size = F.length(alphabet).cast("double")
-    symbols = F.split(F.translate(token, "-_", "+/"), "")
+    symbols = F.split(F.when(encoding == "base36", F.upper(token)).otherwise(F.translate(token, "-_", "+/")), "")
     places = F.transform(F.filter(symbols, lambda c: c != ""), lambda c: F.instr(alphabet, c).cast("double") - 1)
 
     def tests(x: Column) -> Column:
@@ -95,11 +129,9 @@ def battery(token: Column) -> Column:
         both = F.aggregate(next_to, F.lit(0.0), lambda s, p: s + (p["a"] - mean) * (p["b"] - mean))
         z_serial = F.when(var > 0, both / var * F.sqrt(n)).otherwise(99.0)
         p_uniform = F.least(F.lit(1.0), 3 * F.least(1 - normal_cdf(z_chi), 2 * (1 - normal_cdf(F.abs(z_runs))), 2 * (1 - normal_cdf(F.abs(z_serial)))))
-        pairs = n * (n - 1) / 2
-        z_text = ((squares - n) / 2 - TEXT_COINCIDENCE * pairs) / F.sqrt(TEXT_COINCIDENCE * (1 - TEXT_COINCIDENCE) * pairs)
-        return F.struct(n.cast("int").alias("n"), p_uniform.alias("p_uniform"), normal_cdf(z_text).alias("p_text"))
+        return F.struct(n.cast("int").alias("n"), p_uniform.alias("p_uniform"), unlike_text(x["token"], x["encoding"]).alias("p_text"))
 
-    known = F.struct(places.alias("places"), size.alias("size"))
+    known = F.struct(places.alias("places"), size.alias("size"), token.alias("token"), encoding.alias("encoding"))
     return F.when(encoding.isNotNull(), F.transform(F.array(known), tests)[0])
 
 
