@@ -17,8 +17,9 @@ BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 def prepare(spark: SparkSession) -> SparkSession:
     """Make the package importable for Python workers and the checkpoint folder known.
 
-    The cluster's ``spark.checkpoint.dir`` is used where it is set; a folder of our own only
-    where it is not (tests in local mode). Batches for Python are bounded in bytes, as texts may be long.
+    The cluster's ``spark.checkpoint.dir`` is used where it is set; a folder of our own only where
+    it is not and the master is local (tests). Elsewhere a missing setting is an error, as a folder of
+    the driver's is not seen by executors. Batches for Python are bounded in bytes, as texts may be long.
     """
     sc = spark.sparkContext
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -27,6 +28,8 @@ def prepare(spark: SparkSession) -> SparkSession:
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="voxframe-checkpoints-"))
     if spark.conf.get(BATCH_KEY, "1") == "1":  # not set
         spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
@@ -55,3 +58,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, under fixed names, so that no further column can clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def spare(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -9,7 +9,7 @@ The prefix sums never gather a source in one task: each key falls into one of ``
 key order, slices are summed first, and only the rows of a slice are then ordered together.
 The plan of budgets works on one row for each source.
 
-Rows: a null text has size 0; null sources form one source, ordered last; a null or non-positive
+Rows: a null text has size 0; null ids draw by their texts, so that they spread over the slices; null sources form one source, ordered last; a null or non-positive
 weight counts as 1; rows with equal keys (repeated ids) are ordered by id, size and text hash, and
 fully equal rows are interchangeable; an empty table gives an empty result.
 """
@@ -31,9 +31,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def variate(doc_id: Column) -> Column:
-    """Uniform on (0, 1], from the id alone, so that reruns agree."""
-    return (F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, DIGITS), 16, 10).cast("double") + 1) / float(16**DIGITS)
+def variate(doc_id: Column, tie: Column) -> Column:
+    """Uniform on (0, 1], from the id alone (where it is null, from the hash of the text), so that reruns agree."""
+    name = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null "), tie.cast("string")))
+    return (F.conv(F.substring(F.md5(name.cast("binary")), 1, DIGITS), 16, 10).cast("double") + 1) / float(16**DIGITS)
 
 
 def budgets(sources: DataFrame) -> DataFrame:
@@ -71,7 +72,7 @@ def mix(docs: DataFrame, weight_col: str | None = None, labels: DataFrame | None
     )
     if labels is not None:
         rows = quality_weight(rows.drop("quality"), labels).withColumnRenamed("quality_weight", "quality")
-    rows = cut(rows.withColumn("key", -F.log(variate(F.col("doc_id"))) / F.col("quality")).withColumn("slice", F.floor((1 - F.exp(-F.col("key"))) * SLICES).cast("int")))
+    rows = cut(rows.withColumn("key", -F.log(variate(F.col("doc_id"), F.col("tie"))) / F.col("quality")).withColumn("slice", F.floor((1 - F.exp(-F.col("key"))) * SLICES).cast("int")))
     slices = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     plan = budgets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -107,6 +108,7 @@ def mixture(docs: DataFrame, weight_col: str | None = None, labels: DataFrame |
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
     words = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int")
     first = F.array_join(F.slice(F.filter(F.split("row.text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), words), " ")
-    rows = rows.select("row.*", F.when(words < F.col("size"), first).otherwise(F.col("row.text")).alias("cut_text_"))
-    out = rows.withColumn("text", F.col("cut_text_")).drop("cut_text_")
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
+    text = F.when(words < F.col("size"), first).otherwise(F.col("row.text"))
+    kept = rows.select("row", text.alias("text"))
+    own = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return kept.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns if c != weight_col])
