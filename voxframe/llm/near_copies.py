@@ -1,15 +1,24 @@
-"""Groups of near copies for the pipeline: five-word shingles and a similarity of 0.8 or more.
+"""Near-duplicate groups of similarity 0.8 or more over five-word shingles, for the pipeline (operator 5).
 
-The similarity of two texts is that of their sets of shingles (shared over all, Jaccard). At 0.8, two
-64-bit SimHashes differ in about 10 bits, and in up to 16 for one pair in a hundred, which no
-multi-index over 64 bits can search; so pairs come from an exact prefix filter. With all shingles in
-one fixed order, two sets of similarity 0.8 share one among the first n - ceil(0.8 n) + 1 of each.
-Shingles found often in a sample come last in the order, so that the heads of sets rarely meet by
-chance; the sample bears on speed only. The similarity of each pair that meets is computed from the
-whole sets, as 32-bit hashes. Groups are the components of the pairs that reach it.
+The similarity of two texts is that of their sets of shingles (shared over all, Jaccard). Two steps:
+
+1. Operator 5's multi-index hashing links 64-bit SimHashes within two bits, and the similarity of
+   each match is verified on the whole sets. It finds close copies only: at a similarity of 0.8 two
+   SimHashes differ in about 10 bits, which no multi-index over 64 bits can search.
+2. An exact prefix filter finds the rest. With all shingles in one fixed order, two sets of similarity
+   0.8 share one among the first n - ceil(0.8 n) + 1 of each (their heads). Shingles found often in a
+   sample come last in the order, so that heads rarely meet by chance; the sample bears on speed only.
+
+Not all pairs of a group are written out. First each set meets one centre for each shingle of its head;
+the components of what is verified then stand for their members, and only pairs of different
+components are looked for among sets whose heads meet. Of those, a bitmap filter leaves out pairs that
+differ too much: each set has ``BITS`` bits, turned over once for each of its shingles, so that two sets
+differ in at least as many shingles as their bitmaps in bits. Both filters are exact: every pair of
+similarity 0.8 is either verified or inside one component already.
 
 Rows: a null or wordless text has the empty set, which is similar only to itself; fewer than five
-words make one shingle; a null id names no group unless no other id is in it.
+words make one shingle; a null id names no group unless no other id is in it; repeated rows are one
+document; an empty table gives an empty result; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,30 +27,23 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxframe.llm.common import cut, id_and_text, prepare, stored
-from voxframe.llm.simhash import SEED, components
+from voxframe.llm.simhash import SEED, components, links, majority, shingle_hashes, words_of
 
 WIDTH, SIMILARITY = 5, 0.8
 #: Of the sets, one in SAMPLED is counted, and the MOST_COMMON shingles of those are ordered last.
 SAMPLED, MOST_COMMON = 16, 100_000
 #: Pairs are compared in cells, that hold their sets.
 CELLS, CELL_PAIRS = 1024, 1_000_000
+BITS = 512
 
 
 def shingles(text: str | None) -> np.ndarray:
     """The sorted distinct 64-bit hashes of the word shingles of a text."""
-    from xxhash import xxh64_intdigest
-
-    words = (text or "").encode("utf-8").lower().split()  # ASCII case and ASCII white space
-    if not words:
-        return np.zeros(0, dtype=np.int64)
-    join = b" ".join
-    if len(words) < WIDTH:
-        return np.array([xxh64_intdigest(join(words), SEED)], dtype=np.uint64).view(np.int64)
-    return np.unique(np.array([xxh64_intdigest(join(s), SEED) for s in zip(*(words[i:] for i in range(WIDTH)))], dtype=np.uint64).view(np.int64))
+    return np.unique(shingle_hashes(words_of(text), WIDTH).view(np.int64))
 
 
 def head(hashes: np.ndarray, common: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -51,6 +53,12 @@ def head(hashes: np.ndarray, common: np.ndarray, places: np.ndarray) -> np.ndarr
     return hashes[np.lexsort((hashes, place))][: len(hashes) - math.ceil(SIMILARITY * len(hashes) - 1e-9) + 1]
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """BITS bits as longs: each is the parity of the shingles that fall on it."""
+    odd = np.bincount((hashes.view(np.uint64) >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _lists(rows: list[np.ndarray]):
     import pyarrow as pa
 
@@ -84,7 +92,8 @@ def common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def heads(docs: DataFrame) -> DataFrame:
-    """doc_id, key (a hash of the set of shingles), n (their number), head."""
+    """doc_id, key (a hash of the set of shingles), n (their number), fp (SimHash), bits, head, shingles
+    (the whole set as sorted 32-bit halves of its hashes, packed)."""
     shared = docs.sparkSession.sparkContext.broadcast(common(docs))
 
     def run(batches) -> Iterator:
@@ -94,34 +103,57 @@ def heads(docs: DataFrame) -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)
-                found = [shingles(t.as_py()) for t in batch.column(1)]
+                every = [shingle_hashes(words_of(t.as_py()), WIDTH) for t in batch.column(1)]
+                found = [np.unique(x.view(np.int64)) for x in every]
                 keys = np.array([_key(x) for x in found], dtype=np.uint64).view(np.int64)
+                fps = np.array([majority(x) for x in every], dtype=np.uint64).view(np.int64)
                 own = [head(x, often, places) if len(x) else x for x in found]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array([len(x) for x in found], pa.int64()), _lists(own)], ["doc_id", "key", "n", "head"])
+                packed = [np.sort(x.astype("<u4")).tobytes() for x in found]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(keys, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(fps, pa.int64()), _lists([bitmap(x) for x in found]), _lists(own), pa.array(packed, pa.binary())],
+                    ["doc_id", "key", "n", "fp", "bits", "head", "shingles"],
+                )
 
-    return id_text_prepared(docs).mapInArrow(run, "doc_id long, key long, n long, head array<long>")
+    return id_text_prepared(docs).mapInArrow(run, "doc_id long, key long, n long, fp long, bits array<long>, head array<long>, shingles binary")
 
 
-def whole_sets(docs: DataFrame) -> DataFrame:
-    """key, shingles: the whole set of every text as sorted 32-bit halves of its hashes, packed."""
+def may_be_similar(x: str, y: str) -> Column:
+    """Whether sizes and bitmaps of two sets (n, bits under two prefixes) allow the similarity."""
+    sizes, most = F.col(f"n{x}") + F.col(f"n{y}"), (1 - SIMILARITY) / (1 + SIMILARITY)
+    differ = sum((F.bit_count(F.get(f"bits{x}", F.lit(i)).bitwiseXOR(F.get(f"bits{y}", F.lit(i)))) for i in range(1, BITS // 64)), F.bit_count(F.get(f"bits{x}", F.lit(0)).bitwiseXOR(F.get(f"bits{y}", F.lit(0)))))
+    return (F.least(f"n{x}", f"n{y}") >= SIMILARITY * F.greatest(f"n{x}", f"n{y}") - 1e-9) & (differ <= most * sizes + 1e-9)
 
-    def run(batches) -> Iterator:
-        import pyarrow as pa
 
-        for batch in batches:
-            found = [shingles(t.as_py()) for t in batch.column(1)]
-            keys = np.array([_key(x) for x in found], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([np.sort(x.astype("<u4")).tobytes() for x in found], pa.binary())], ["key", "shingles"])
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def by_simhash(sets: DataFrame) -> DataFrame:
+    """a, b: keys whose SimHashes are linked by the multi-index, as links to the least key of a fingerprint."""
+    first = sets.groupBy("fp").agg(F.min("key").alias("b"))
+    same = sets.select("fp", F.col("key").alias("a")).join(first, "fp").select("a", "b")
+    near = links(cut(first).select("fp"))
+    ends = [first.select(F.col("fp").alias(f"f{x}"), F.col("b").alias(f"k{x}")) for x in "ab"]
+    far = near.join(ends[0], F.col("a") == F.col("fa")).join(ends[1], F.col("b") == F.col("fb"))
+    return same.unionAll(far.select(F.col("ka").alias("a"), F.col("kb").alias("b")))
+
 
-    return id_text_prepared(docs).mapInArrow(run, "key long, shingles binary")
+def by_centres(rows: DataFrame) -> DataFrame:
+    """a, b: each set with one set of those that have a shingle of its head in theirs, another one for each shingle."""
+    centre = rows.groupBy("s").agg(F.min(F.struct(F.xxhash64("s", "key").alias("h"), "key", "n", "bits")).alias("c"))
+    centre = centre.select(F.col("s").alias("cs"), F.col("c.key").alias("b"), F.col("c.n").alias("nb"), F.col("c.bits").alias("bitsb"))
+    own = rows.select("s", F.col("key").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bitsa"))
+    return own.join(centre, (F.col("s") == F.col("cs")) & (F.col("a") != F.col("b")) & may_be_similar("a", "b")).select("a", "b")
 
 
-def met(found: DataFrame) -> DataFrame:
-    """a > b: the keys of distinct sets whose sizes allow the similarity and whose heads meet."""
-    rows = found.dropDuplicates(["key"]).select("key", "n", F.explode("head").alias("s"))
-    a, b = (rows.select("s", F.col("key").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-    fits = (F.col("a") > F.col("b")) & (F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb") - 1e-9)
-    return a.join(b, "s").where(fits).select("a", "b").distinct()
+def between(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """a, b: the sets of different components (roots: node, root) whose heads meet and that may be similar."""
+    known = cut(rows.join(roots, F.col("key") == F.col("node"), "left").select("s", "key", "n", "bits", F.coalesce("root", "key").alias("root")))
+    mixed = known.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("s").alias("ms"))
+    known = known.join(mixed, F.col("s") == F.col("ms"), "left_semi")
+    a, b = (known.select("s", F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"), F.col("root").alias(f"root{x}")) for x in "ab")
+    a = a.withColumnRenamed("s", "as")
+    return a.join(b, (F.col("as") == F.col("s")) & (F.col("a") > F.col("b")) & (F.col("roota") != F.col("rootb")) & may_be_similar("a", "b")).select("a", "b")
 
 
 def dealt(pairs: DataFrame) -> DataFrame:
@@ -135,11 +167,11 @@ def dealt(pairs: DataFrame) -> DataFrame:
     return led.join(hot, F.col("leader") == F.col("hot"), "left").select(cell.alias("cell"), "a", "b")
 
 
-def similar(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """a > b: the keys of all distinct sets (key, n, head in ``found``) that reach the similarity."""
-    pairs = cut(dealt(cut(met(found))))
+def similar(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a > b: those of the pairs that reach the similarity. sets: key, shingles."""
+    pairs = cut(dealt(cut(ordered(pairs))))
     ends = pairs.select(F.col("cell").alias("at"), F.explode(F.array("a", "b")).alias("end")).distinct()
-    needed = ends.join(whole_sets(docs), F.col("end") == F.col("key")).select("at", "key", "shingles")
+    needed = ends.join(sets, F.col("end") == F.col("key")).select("at", "key", "shingles")
 
     def run(pairs, sets):
         import pyarrow as pa
@@ -160,8 +192,13 @@ def similar(docs: DataFrame, found: DataFrame) -> DataFrame:
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, component_id (the least doc_id of its group)."""
     found = stored(heads(docs))
+    sets = stored(found.drop("doc_id").dropDuplicates(["key"]))
+    rows = sets.select("key", "n", "bits", F.explode("head").alias("s"))
+    near = cut(similar(sets, by_simhash(sets).unionAll(by_centres(rows))))
+    roots = components(near)
+    far = similar(sets, between(rows, roots))
+    roots = components(near.unionAll(far))
     by_key = cut(found.groupBy("key").agg(F.min("doc_id").alias("least")))
-    roots = components(similar(docs, found))
     rooted = by_key.join(roots, by_key["key"] == roots["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = cut(rooted.select(F.col("key").alias("_key"), F.col("root").alias("_root")).join(named, F.col("_root") == F.col("root")).select("_key", "component_id"))
