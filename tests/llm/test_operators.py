@@ -34,9 +34,16 @@ def mixed_texts():
     return [(0, a), (1, a), (2, " ".join(near)), (3, b + "\n" + a[200:900]), (4, ""), (5, None), (6, "one"), (7, "é two"), (8, b), (8, b), (None, b), (9, words(3, 4000)), (10, "z" * 1200), (11, words(4, 30) * 2)]
 
 
-def test_bytes_removed_equal_brute_force(spark, mixed_texts):
+@pytest.mark.parametrize("most, least_hot, chunk", [(2000, 1000, 1 << 20), (1, 1, 64)])
+def test_bytes_removed_equal_brute_force(spark, mixed_texts, most, least_hot, chunk, monkeypatch):
+    from voxframe.llm import repeats
     from voxframe.llm.suffix_array_dedup import digest, remove_repeats
 
+    monkeypatch.setattr(repeats, "MOST", most)  # 1: every shared anchor goes the way of the very common ones
+    monkeypatch.setattr(repeats, "LEAST_HOT", least_hot)  # 1: common keys are salted
+    monkeypatch.setattr(repeats, "HOT", 1000 if least_hot > 1 else 10**9)
+    monkeypatch.setattr(repeats, "CHUNK", chunk)
+
     raw = [(i, (t or "").encode()) for i, t in mixed_texts]
     for width, found in ((400, digest(documents(spark, mixed_texts))), (100, None)):
         count = Counter(b[i : i + width] for _, b in raw for i in range(len(b) - width + 1))

@@ -9,12 +9,19 @@ work is one anchor with the run of window starts that select it:
 2. Occurrences with equal surroundings (all units of all their windows) form a class; classes are
    counted with partial sums, so a group of copies of any size is one row.
 3. Anchors with several classes send one member of each class, with its units, to the operator's
-   own kernel, which finds the windows that classes share. Anchors with over ``MOST`` classes
-   (passages in very many different surroundings) are taken apart instead into single windows,
-   which are again counted with partial sums: exact, with no group in one task.
+   own kernel, which finds the windows that classes share. A kernel takes up to ``MOST`` classes of an
+   anchor. Beyond that (passages in very many different surroundings) the prefix that deals rows out is
+   the whole window instead of the anchor: single windows, counted with partial sums. That is as exact, and
+   no anchor, however common, has to fit into one task.
 4. The verdicts return to the occurrences and, as runs of window starts, to the documents.
 
-Hashes have 64 bits; equality is judged by them except inside the kernels, which compare units.
+Keys that hold over a ``HOT`` th of all rows, of which there are fewer than ``HOT``, are salted in joins, so
+that one very common anchor or class is not one task.
+
+Classes are told apart by (anchor's hash, hash of the surroundings), 64 bits each; the surroundings and
+single windows are hashed as bytes by XXH3. The anchors' hash is a polynomial: a collision there makes
+a group larger but no units equal, as the kernels compare units. Texts are taken ``CHUNK`` windows at
+a time, so places fit their bits however long the text.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ from pyspark.sql import functions as F
 
 from voxframe.llm.common import cut, id_and_text, prepare, stored
 
-MOST = 2000
+MOST, HOT, LEAST_HOT, CHUNK = 2000, 1000, 1000, 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bits of a place in a document; hashes are compared by the bits above.
@@ -40,8 +47,7 @@ PLACE = 28
 class Shape:
     width: int
     gram: int
-    units: Callable[[str], np.ndarray]  # uint64 value of each unit of a text
-    pack: Callable[[np.ndarray], bytes]  # units for transport
+    units: Callable[[str], np.ndarray]  # the value of each unit of a text, as unsigned integers; their bytes are what is carried
     earlier: bool  # remove only windows that occur earlier; else all that occur elsewhere
 
 
@@ -72,10 +78,15 @@ class Sums:
 def anchors(values: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
     """Arrays place, first, last, h, full: the anchors with their runs of window starts."""
     windows = len(values) - shape.width + 1
-    if windows <= 0:
-        empty = np.zeros(0, dtype=np.int64)
-        return empty, empty, empty, empty, empty
-    sums, span = Sums(values), shape.width - shape.gram + 1
+    parts = [_anchors(values[start : start + CHUNK + shape.width - 1], shape, start) for start in range(0, windows, CHUNK)]
+    return tuple(np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in zip(*parts)) if parts else (np.zeros(0, dtype=np.int64),) * 5
+
+
+def _anchors(values: np.ndarray, shape: Shape, begin: int) -> tuple[np.ndarray, ...]:
+    from xxhash import xxh3_64_intdigest
+
+    windows = len(values) - shape.width + 1
+    sums, span = Sums(values.astype(np.uint64, copy=False)), shape.width - shape.gram + 1
     at = np.arange(len(values) - shape.gram + 1)
     grams = sums.of(at, at + shape.gram)
     key = (grams >> np.uint64(PLACE) << np.uint64(PLACE)) | at.astype(np.uint64)
@@ -89,9 +100,10 @@ def anchors(values: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
     chosen = (np.minimum(behind[start], ahead[start + span - 1]) & np.uint64((1 << PLACE) - 1)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
     last = np.r_[first[1:], windows] - 1
-    place = chosen[first]
-    full = sums.of(first, last + shape.width) ^ ((place - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return place, first, last, grams[place].view(np.int64), full.view(np.int64)
+    place, size = chosen[first], values.itemsize
+    raw = memoryview(np.ascontiguousarray(values)).cast("B")
+    full = np.fromiter((xxh3_64_intdigest(raw[a * size : b * size], lead) for a, b, lead in zip(first.tolist(), (last + shape.width).tolist(), (place - first).tolist())), dtype=np.uint64, count=len(first))
+    return place + begin, first + begin, last + begin, grams[place].view(np.int64), full.view(np.int64)
 
 
 def runs(flags: np.ndarray) -> list[list[int]]:
@@ -100,13 +112,30 @@ def runs(flags: np.ndarray) -> list[list[int]]:
     return [[int(a), int(b) - 1] for a, b in zip(edges[::2], edges[1::2])]
 
 
+def hot_keys(counted: DataFrame, keys: list[str], n: str, total: int) -> list[int]:
+    """Hashes of the keys that hold over a ``HOT`` th of ``total`` rows, of which there are fewer than ``HOT``."""
+    return [r[0] for r in counted.where(F.col(n) > max(LEAST_HOT, total // HOT)).select(F.xxhash64(*keys)).collect()]
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: dict[str, str], hot: list[int], how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row for each key; left's rows of hot keys are spread over all partitions."""
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    on = [F.col(a) == F.col(b) for a, b in keys.items()]
+    if not hot:
+        return left.join(right, on, how)
+    spread = F.when(F.xxhash64(*keys).isin(hot), F.pmod(F.xxhash64(*left.columns), F.lit(parts))).otherwise(F.lit(0))
+    copies = F.when(F.xxhash64(*keys.values()).isin(hot), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    return left.withColumn("salt", spread.cast("int")).join(right.withColumn("salt2", F.explode(copies)), [*on, F.col("salt") == F.col("salt2")], how)
+
+
 def repeated_windows(docs: DataFrame, shape: Shape, kernel: Callable[[list, pd.DataFrame], list[np.ndarray]]) -> DataFrame:
     """doc_id, text, runs: each document with its runs of removed window starts (an array of arrays).
 
-    kernel(texts, rows): for every row of several whole groups (columns h, place, first, last, doc_id,
-    th; texts: the packed units), an array of flags, one for each window, whether it is removed.
+    kernel(units, rows): for every row of several whole groups (columns h, place, first, last, doc_id,
+    th; its units), an array of flags, one for each window, whether it is removed.
     """
     prepare(docs.sparkSession)
+    most = MOST
     rows = id_and_text(docs).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("th", F.hash("text"))
 
     def find(batches: Iterator) -> Iterator:
@@ -125,12 +154,15 @@ def repeated_windows(docs: DataFrame, shape: Shape, kernel: Callable[[list, pd.D
 
     # Most anchors occur once and end with a count of their hashes alone.
     found = stored(rows.select("doc_id", "text", "th").mapInArrow(find, "doc_id long, th int, pos long, h long, full long"))
-    shared = found.groupBy("h").agg(F.count(F.lit(1)).alias("all")).where("all > 1").select(F.col("h").alias("h2"))
-    found = stored(found.join(shared, F.col("h") == F.col("h2"), "left_semi"))
+    shared = stored(found.groupBy(F.col("h").alias("h2")).agg(F.count(F.lit(1)).alias("all")).where("all > 1"))
+    hot = hot_keys(shared, ["h2"], "all", found.count())
+    found = stored(salted_join(found, shared, {"h": "h2"}, hot, "left_semi").select("doc_id", "th", "pos", "h", "full"))
     occurrence = F.struct("doc_id", "th", "pos")
-    classes = found.groupBy("h", "full").agg(F.count(F.lit(1)).alias("n"), F.min(occurrence).alias("least"))
-    counts = classes.groupBy("h").agg(F.count(F.lit(1)).alias("classes")).withColumnRenamed("h", "h2")
-    classes = cut(classes.join(counts, F.col("h") == F.col("h2")).select("h", "full", "n", "least", "classes"))
+    classes = stored(found.groupBy("h", "full").agg(F.count(F.lit(1)).alias("n"), F.min(occurrence).alias("least")))
+    counts = cut(classes.groupBy(F.col("h").alias("h2")).agg(F.count(F.lit(1)).alias("classes")))
+    hot = hot_keys(counts, ["h2"], "classes", classes.count())
+    classes = stored(salted_join(classes, counts, {"h": "h2"}, hot).select("h", "full", "n", "least", "classes"))
+    copied = hot_keys(classes, ["h", "full"], "n", found.count())
 
     # One member of each class of a shared anchor, with its units. All joins with texts are part of one
     # query and have the same key, so that the texts are dealt out once for them together.
@@ -145,7 +177,7 @@ def repeated_windows(docs: DataFrame, shape: Shape, kernel: Callable[[list, pd.D
                     values = shape.units(text)
                     for r in of:
                         first, lead, more = r["pos"] >> 32, r["pos"] >> 16 & 0xFFFF, r["pos"] & 0xFFFF
-                        out.append((r["h"], r["full"], r["n"], doc_id, th, first + lead, first, first + more, shape.pack(values[first : first + more + shape.width])))
+                        out.append((r["h"], r["full"], r["n"], doc_id, th, first + lead, first, first + more, values[first : first + more + shape.width].tobytes()))
                 yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
 
     def carried(which) -> DataFrame:
@@ -154,16 +186,18 @@ def repeated_windows(docs: DataFrame, shape: Shape, kernel: Callable[[list, pd.D
         schema = "h long, full long, n long, doc_id long, th int, place int, first int, last int, units binary"
         return rows.join(members, same).select("doc_id", "text", "th", "of").mapInPandas(extract, schema).dropDuplicates(["h", "full"])
 
+    kind = shape.units("").dtype.str
+
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
 
         def done(part: pd.DataFrame) -> pd.DataFrame:
-            flags = kernel(list(part["units"]), part)
+            flags = kernel([np.frombuffer(x, dtype=kind) for x in part["units"]], part)
             return pd.DataFrame({"h": part["h"], "full": part["full"], "runs": [runs(f) for f in flags]})
 
         for batch in batches:  # rows come in the order of h; whole groups are judged together
             held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            if len(held) >= MOST:
+            if len(held) >= most:
                 ends = np.flatnonzero(held["h"].to_numpy()[1:] != held["h"].to_numpy()[:-1])
                 if len(ends):
                     yield done(held.iloc[: ends[-1] + 1].reset_index(drop=True))
@@ -171,30 +205,33 @@ def repeated_windows(docs: DataFrame, shape: Shape, kernel: Callable[[list, pd.D
         if held is not None and len(held):
             yield done(held)
 
-    grouped = carried((F.col("classes") > 1) & (F.col("classes") <= MOST)).repartition("h").sortWithinPartitions("h", "doc_id", "th", "place")
+    grouped = carried((F.col("classes") > 1) & (F.col("classes") <= most)).repartition("h").sortWithinPartitions("h", "doc_id", "th", "place")
     judged = grouped.mapInPandas(judge, "h long, full long, runs array<array<int>>")
 
-    # Very common anchors: single windows, counted by their hash.
+    # Very common anchors: single windows, counted by (anchor, offset from it, hash of the window).
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh3_64_intdigest
+
+        size = np.dtype(kind).itemsize
         for batch in batches:
-            for h, full, n, doc_id, th, first, last, units in zip(*(batch[c] for c in ("h", "full", "n", "doc_id", "th", "first", "last", "units"))):
-                values = np.frombuffer(units, dtype=np.uint8).astype(np.uint64) if not shape.earlier else np.frombuffer(units, dtype="<u8")
-                at = np.arange(last - first + 1)
-                yield pd.DataFrame({"h": h, "full": full, "n": n, "doc_id": pd.array([doc_id] * len(at), dtype="Int64"), "th": th, "at": at, "start": at + first, "w": Sums(values).of(at, at + shape.width).view(np.int64)})
+            for h, full, n, doc_id, th, place, first, last, units in zip(*(batch[c] for c in ("h", "full", "n", "doc_id", "th", "place", "first", "last", "units"))):
+                raw, at = memoryview(units), np.arange(last - first + 1)
+                w = np.fromiter((xxh3_64_intdigest(raw[i * size : (i + shape.width) * size]) for i in range(len(at))), dtype=np.uint64, count=len(at)).view(np.int64)
+                yield pd.DataFrame({"h": h, "full": full, "n": n, "doc_id": pd.array([doc_id] * len(at), dtype="Int64"), "th": th, "at": at, "start": at + first, "lead": place - first - at, "w": w})
 
-    single = carried(F.col("classes") > MOST).mapInPandas(split, "h long, full long, n long, doc_id long, th int, at int, start int, w long")
-    seen = single.groupBy("w").agg(F.sum("n").alias("all"), F.min(F.struct("doc_id", "th", "start")).alias("least")).where("all > 1").withColumnRenamed("w", "w2")
+    single = carried(F.col("classes") > most).mapInPandas(split, "h long, full long, n long, doc_id long, th int, at int, start int, lead int, w long")
     own = F.struct("doc_id", "th", "start")
-    hit = single.join(seen, F.col("w") == F.col("w2")).where(own != F.col("least") if shape.earlier else F.lit(True))
-    hot = hit.groupBy("h", "full").agg(F.transform(F.sort_array(F.collect_set("at")), lambda x: F.array(x, x)).alias("runs"))
-    verdicts = judged.unionAll(hot).withColumnRenamed("h", "vh").withColumnRenamed("full", "vf")
+    seen = single.groupBy(F.col("h").alias("h2"), F.col("lead").alias("lead2"), F.col("w").alias("w2")).agg(F.sum("n").alias("all"), F.min(own).alias("least")).where("all > 1")
+    hit = single.join(seen, (F.col("h") == F.col("h2")) & (F.col("lead") == F.col("lead2")) & (F.col("w") == F.col("w2"))).where(own != F.col("least") if shape.earlier else F.lit(True))
+    verdicts = judged.unionAll(hit.groupBy("h", "full").agg(F.transform(F.sort_array(F.collect_set("at")), lambda x: F.array(x, x)).alias("runs")))
+    verdicts = verdicts.withColumnRenamed("h", "vh").withColumnRenamed("full", "vf")
 
     known = classes.join(verdicts, (F.col("h") == F.col("vh")) & (F.col("full") == F.col("vf")), "left").select(F.col("h").alias("kh"), F.col("full").alias("kf"), "n", "least", "runs").where("n > 1 or size(runs) > 0")
     first, more = F.shiftright("pos", 32).cast("int"), F.col("pos").bitwiseAND(0xFFFF).cast("int")
     whole = F.array(F.array(first, first + more))
     part = F.transform(F.coalesce("runs", F.array().cast("array<array<int>>")), lambda r: F.array(r[0] + first, r[1] + first))
     all_go = occurrence != F.col("least") if shape.earlier else F.col("n") > 1
-    back = found.join(known, (F.col("h") == F.col("kh")) & (F.col("full") == F.col("kf"))).select("doc_id", "th", F.when(all_go, whole).otherwise(part).alias("r"))
+    back = salted_join(found, known, {"h": "kh", "full": "kf"}, copied).select("doc_id", "th", F.when(all_go, whole).otherwise(part).alias("r"))
     by_doc = back.where(F.size("r") > 0).groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.flatten(F.collect_set("r")).alias("runs"))
     return rows.join(by_doc, same, "left").select("doc_id", "text", "runs")
 

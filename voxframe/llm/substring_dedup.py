@@ -1,15 +1,17 @@
 """Removal of word windows that occurred before (operator 10).
 
-Method: prefix-partitioned suffix trees. The suffixes that begin at the windows of one anchor form a
-partition (anchors: see ``repeats``; only suffixes in one partition can share a window), and a
-partition that is too large is split further by longer prefixes, at last by whole windows. In a
-partition the suffixes, cut at the window's width, are the sorted leaves of a suffix tree; internal
-nodes are the intervals of leaves with a common prefix. Each deep node (as deep as a window) is a
-repeat: its earliest leaf stays and the others are removed.
+Method: prefix-partitioned suffix trees. Suffixes are dealt out by prefixes of variable length: those
+of the windows of one anchor form a partition (anchors: see ``repeats``; only suffixes in one
+partition can share a window), and where an anchor has too many of them, the prefix is the whole
+window. Each partition fits into memory and its subtree is built from the root down, a level of words at a
+time: the suffixes of a node are split by their next word into its children, and a node with one
+suffix is a leaf and rests. What reaches the window's width with several suffixes is a deep internal node,
+and so a repeat: its earliest suffix stays and the others are removed.
 
 Rows: a null text has no words; repeated rows with the same id and text are one document, and each
 returns that document's result; of documents with one id but different texts, the smaller text
-hash counts as earlier; a null id is the smallest; an empty table gives an empty result.
+hash counts as earlier; a null id is the smallest; an empty table gives an empty result; further
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -48,18 +50,37 @@ def units(text: str) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+def deep_nodes(suffixes: np.ndarray, partition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(leaves, node): the suffixes below internal nodes as deep as the width, in their own order, and the nodes' numbers.
+
+    suffixes: one a row, of width words; partition: the number of each suffix's subtree.
+    """
+    leaves, node = np.arange(len(suffixes)), partition
+    for depth in range(-1, suffixes.shape[1]):
+        if depth >= 0:  # the children of every node, by the next word
+            word = suffixes[leaves, depth]
+            order = np.lexsort((word, node))
+            starts = np.r_[True, (node[order][1:] != node[order][:-1]) | (word[order][1:] != word[order][:-1])]
+            child = np.empty(len(leaves), dtype=np.int64)
+            child[order] = np.cumsum(starts)
+            node = child
+        inner = np.bincount(node)[node] > 1
+        leaves, node = leaves[inner], node[inner]
+        if not len(leaves):
+            break
+    return leaves, node
+
+
 def kernel(width: int):
-    def run(strings: list[bytes], rows: pd.DataFrame) -> list[np.ndarray]:
-        sequences = [np.frombuffer(s, dtype="<u8") for s in strings]
+    def run(sequences: list[np.ndarray], rows: pd.DataFrame) -> list[np.ndarray]:
         sizes = np.array([len(s) - width + 1 for s in sequences])
         suffixes = np.concatenate([np.lib.stride_tricks.sliding_window_view(s, width) for s in sequences])
-        group = np.repeat(np.cumsum(np.r_[False, rows["h"].to_numpy()[1:] != rows["h"].to_numpy()[:-1]]), sizes)
-        # Rows come in the order of their occurrence, so the place in the list is the leaf's age.
-        leaves = np.lexsort((*suffixes.T[::-1], group))
-        ordered, of = suffixes[leaves], group[leaves]
-        deep = np.r_[False, (ordered[1:] == ordered[:-1]).all(axis=1) & (of[1:] == of[:-1])]  # common prefix with the leaf before reaches the width
-        gone = np.zeros(len(leaves), dtype=bool)
-        gone[leaves[deep]] = True  # lexsort is stable: the first leaf of a node is the earliest
+        partition = np.repeat(np.cumsum(np.r_[False, rows["h"].to_numpy()[1:] != rows["h"].to_numpy()[:-1]]), sizes)
+        # Rows come in the order of their occurrence, so a suffix's place in the list is its age.
+        leaves, node = deep_nodes(suffixes, partition)
+        gone = np.zeros(len(suffixes), dtype=bool)
+        gone[leaves] = True
+        gone[leaves[np.unique(node, return_index=True)[1]]] = False  # the earliest of each node
         return np.split(gone, np.cumsum(sizes)[:-1])
 
     return run
@@ -67,7 +88,7 @@ def kernel(width: int):
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the remaining words, joined by one space)."""
-    found = repeated_windows(docs, Shape(width, gram, units, lambda v: v.astype("<u8").tobytes(), True), kernel(width))
+    found = repeated_windows(docs, Shape(width, gram, units, True), kernel(width))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -1,16 +1,24 @@
 """Removal of long byte strings that occur elsewhere (operator 8).
 
-Method: merging Burrows-Wheeler orders by interleave refinement. The strings around one anchor come
-from many shards. Starting with the shards one after the other, the interleave is refined one
-position at a time, from the right: every string is moved stably by the byte before its current
-suffix, so that the order at each position follows from the last without sorting suffixes again.
-Common prefixes are derived alongside: one more than the least over the stretch that two neighbours
-enclosed before. A window is a repeated interval where a neighbour's common prefix reaches its width.
-Which strings meet is settled by anchors (see ``repeats``), and only they enter the merge.
+Method: merging shard Burrows-Wheeler transforms by interleave refinement. Which strings meet is
+settled by anchors (see ``repeats``), and only they enter a merge. The strings around one anchor are
+aligned at it, and equal windows have equal places, so the transform goes by place (a positional
+transform): at each place it lists the symbols in the order of the suffixes that follow. The symbols of
+one anchor's strings count as an alphabet of their own, so that anchors don't mix.
+
+1. The strings are dealt into shards by document, and each shard's transform is built by itself, from
+   the last place to the first: the symbols in the present order are the transform, and moving every
+   string stably by its symbol (the LF step) gives the order at the place.
+2. The merge sees no strings, but only the shards' transforms. It starts with the shards one after the
+   other; at each place the interleave is refined: the next symbol of each shard is taken as the
+   interleave says, and its entries are moved stably by these symbols. No suffix is sorted again.
+3. Common prefixes come with it: neighbours that had equal symbols and lay in one stretch share one
+   more than the least of that stretch. A window is a repeated interval where the common prefix with a
+   neighbour reaches the width.
 
 Rows: a null text counts as empty; matches never cross documents; texts shorter than the width
 lose nothing; repeated rows are documents of their own, so each loses what it shares with its
-copy; an empty table gives an empty result; further columns are ignored.
+copy; an empty table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,50 +33,69 @@ from pyspark.sql import functions as F
 from voxframe.llm.repeats import Shape, covered, repeated_windows
 
 WIDTH, GRAM = 400, 64
+#: Strings of a shard, about.
+SHARD_ROWS = 512
 
 
 def units(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-8"), dtype=np.uint8).astype(np.uint64)
+    return np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
 
 
-def refine(matrix: np.ndarray, valid: np.ndarray, group: np.ndarray, width: int, windows: int) -> np.ndarray:
-    """Flags (rows x windows): whether the window that starts in the column occurs in another row of the group.
+def transforms(symbols: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shards' transforms and string numbers by place (places x strings), shard after shard in each row.
 
-    matrix: aligned strings, one a row; valid: which cells hold a byte; group: ascending numbers.
+    symbols: strings x places; shard: the shard of each string. A shard's stretch depends on its own strings only.
     """
-    n = len(matrix)
-    order, common = np.arange(n), np.zeros(n, dtype=np.int64)  # common[i]: shared prefix of the strings at i - 1 and i
-    flags = np.zeros((n, windows), dtype=bool)
-    for p in range(matrix.shape[1] - 1, -1, -1):
-        symbol = np.where(valid[order, p], matrix[order, p].astype(np.int64) + 1, 0)
-        moved = np.argsort(group[order] * 257 + symbol, kind="stable")
+    order = np.argsort(shard, kind="stable")
+    transform, strings = np.empty(symbols.shape[::-1], dtype=symbols.dtype), np.empty(symbols.shape[::-1], dtype=np.int32)
+    for p in range(symbols.shape[1] - 1, -1, -1):
+        transform[p] = symbols[order, p]
+        order = order[np.lexsort((transform[p], shard[order]))]  # each shard stably by its symbols
+        strings[p] = order
+    return transform, strings
+
+
+def interleaves(transform: np.ndarray, shard: np.ndarray, ends: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place, interleave, common) from the last place to the first; common[i]: the shared prefix of the entries at i - 1 and i.
+
+    shard: which shard each column of the transforms belongs to; symbols that ``ends`` divides end a string and match nothing.
+    """
+    n = transform.shape[1]
+    interleave, common = shard.copy(), np.zeros(n, dtype=np.int64)
+    for p in range(len(transform) - 1, -1, -1):
+        symbol = np.empty(n, dtype=transform.dtype)
+        symbol[np.argsort(interleave, kind="stable")] = transform[p]  # the shards' next symbols, where the interleave has them
+        moved = np.argsort(symbol, kind="stable")
         left, right = moved[:-1], moved[1:]
-        alike = (symbol[left] == symbol[right]) & (symbol[left] > 0) & (group[order[left]] == group[order[right]])
+        near = np.flatnonzero((symbol[left] == symbol[right]) & (symbol[left] % ends > 0))
         after = np.zeros(n, dtype=np.int64)
-        near = np.flatnonzero(alike)
         if len(near):
             a, b = left[near] + 1, right[near] + 1
             least = np.minimum.reduceat(np.r_[common, 0], np.stack([a, b], axis=1).ravel())[::2]
             after[near + 1] = 1 + np.where(b - a == 1, common[right[near]], least)
-        order, common = order[moved], after
-        if p < windows:
-            flags[order, p] = (common >= width) | (np.r_[common[1:], 0] >= width)
-    return flags
+        interleave, common = interleave[moved], after
+        yield p, interleave, common
 
 
-def kernel(width: int, gram: int):
+def kernel(width: int, gram: int, shard_rows: int = SHARD_ROWS):
     before = width - gram
 
-    def run(strings: list[bytes], rows: pd.DataFrame) -> list[np.ndarray]:
+    def run(strings: list[np.ndarray], rows: pd.DataFrame) -> list[np.ndarray]:
         n = len(strings)
         lead = before - (rows["place"] - rows["first"]).to_numpy()
         size = np.array([len(s) for s in strings])
-        matrix, valid = np.zeros((n, before + width), dtype=np.uint8), np.zeros((n, before + width), dtype=bool)
-        for i, s in enumerate(strings):
-            matrix[i, lead[i] : lead[i] + size[i]] = np.frombuffer(s, dtype=np.uint8)
-            valid[i, lead[i] : lead[i] + size[i]] = True
         group = np.cumsum(np.r_[False, rows["h"].to_numpy()[1:] != rows["h"].to_numpy()[:-1]])
-        flags = refine(matrix, valid, group, width, before + 1)
+        symbols = np.repeat((group * 257).astype(np.int32)[:, None], before + width, axis=1)
+        for i, s in enumerate(strings):
+            symbols[i, lead[i] : lead[i] + size[i]] += s.astype(np.int32) + 1
+        shard = (pd.util.hash_array(rows["doc_id"].to_numpy(np.int64, na_value=-1)) % np.uint64(-(-n // shard_rows))).astype(np.int16)
+        transform, numbers = transforms(symbols, shard)
+        flags, dealt = np.zeros((n, before + 1), dtype=bool), np.sort(shard)
+        for p, interleave, common in interleaves(transform, dealt, 257):
+            if p <= before:
+                own = np.empty(n, dtype=np.int32)
+                own[np.argsort(interleave, kind="stable")] = numbers[p]
+                flags[own, p] = (common >= width) | (np.r_[common[1:], 0] >= width)
         return [flags[i, lead[i] : lead[i] + size[i] - width + 1] for i in range(n)]
 
     return run
@@ -76,7 +103,7 @@ def kernel(width: int, gram: int):
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes)."""
-    found = repeated_windows(docs, Shape(width, gram, units, lambda v: v.astype(np.uint8).tobytes(), False), kernel(width, gram))
+    found = repeated_windows(docs, Shape(width, gram, units, False), kernel(width, gram))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
