@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from voxframe.functions.turns import end_frame, first_frame
 
 #: The same derivations in DuckDB SQL, to stand before a query.
-SQL = """
-WITH ev AS (SELECT event_id, user_id, strftime(ts, '%Y-%m-%d') AS file, (epoch_us(ts) - epoch_us(date_trunc('day', ts))) // 1000 AS start_ms,
+SQL = r"""
+WITH RECURSIVE ev AS (SELECT event_id, user_id, strftime(ts, '%Y-%m-%d') AS file, (epoch_us(ts) - epoch_us(date_trunc('day', ts))) // 1000 AS start_ms,
                    greatest(250, CAST(round(value * 1000) AS BIGINT)) AS dur_ms FROM events),
 turns AS (SELECT file, event_id AS ord, user_id % 8 AS speaker, start_ms / 1000.0::DOUBLE AS start, (start_ms + dur_ms) / 1000.0::DOUBLE AS "end",
                  CAST(floor(least(8640000, start_ms / 1000.0::DOUBLE / 0.01::DOUBLE)) AS BIGINT) AS sf, CAST(ceil(least(8640000, (start_ms + dur_ms) / 1000.0::DOUBLE / 0.01::DOUBLE)) AS BIGINT) AS ef FROM ev),
@@ -19,7 +19,17 @@ hyp0 AS (SELECT *, greatest(0, start_ms + (event_id % 7 - 3) * 50) AS s_ms FROM
 hyp AS (SELECT file, event_id AS ord, ((user_id * 5 + 3) % 8) % 6 AS speaker, s_ms / 1000.0::DOUBLE AS start, (s_ms + dur_ms) / 1000.0::DOUBLE AS "end",
                CAST(floor(least(8640000, s_ms / 1000.0::DOUBLE / 0.01::DOUBLE)) AS BIGINT) AS sf, CAST(ceil(least(8640000, (s_ms + dur_ms) / 1000.0::DOUBLE / 0.01::DOUBLE)) AS BIGINT) AS ef FROM hyp0),
 words AS (SELECT file, ord * 3 + k AS word_ord, start + k * 0.125::DOUBLE AS start, start + k * 0.125::DOUBLE + 0.0625::DOUBLE AS "end", CASE WHEN (ord + k) % 5 = 0 THEN 'stop.' ELSE 'go' END AS word
-          FROM turns, (SELECT unnest([0, 1, 2]) AS k) WHERE ord % 3 = 0)
+          FROM turns, (SELECT unnest([0, 1, 2]) AS k) WHERE ord % 3 = 0),
+uem AS (SELECT file, (k * 7200)::DOUBLE AS start, (k * 7200 + 3600)::DOUBLE + 0.013 AS "end" FROM (SELECT DISTINCT file FROM turns), unnest(range(0, 12)) AS x(k)),
+cv0 AS (SELECT conv_id::VARCHAR AS file, turn AS ord, role, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') AS texts FROM conversations),
+cv1 AS (SELECT *, greatest(250, 60 * len(texts))::BIGINT AS dur_ms FROM cv0),
+cv2 AS (SELECT file, ord, dense_rank() OVER (PARTITION BY file ORDER BY role) - 1 AS speaker, dur_ms, texts,
+               greatest(0, coalesce(sum(dur_ms - 100) OVER (PARTITION BY file ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start_ms,
+               coalesce(sum(len(texts)) OVER (PARTITION BY file ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS done FROM cv1),
+cturns AS (SELECT file, ord, speaker, start_ms / 1000.0::DOUBLE AS start, (start_ms + dur_ms) / 1000.0::DOUBLE AS "end" FROM cv2),
+cwords AS (SELECT file, done + k AS word_ord, texts[k + 1] AS word, speaker, (start_ms + k * dur_ms // len(texts)) / 1000.0::DOUBLE AS start,
+                  (CASE WHEN (done + k) % 13 = 12 THEN start_ms + k * dur_ms // len(texts) ELSE start_ms + (k + 1) * dur_ms // len(texts) END) / 1000.0::DOUBLE AS "end"
+           FROM cv2, unnest(range(0, len(texts))) AS x(k))
 """
 
 
@@ -89,3 +99,25 @@ def conversation_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.expr("start_ms + k * dur_ms div n")
     after = F.when(F.col("word_ord") % 13 == 12, at).otherwise(F.expr("start_ms + (k + 1) * dur_ms div n"))
     return w.select("file", "word_ord", (at / 1000.0).alias("start"), (after / 1000.0).alias("end"), "word")
+
+
+def scored_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file, start, end: the first hour of every two of each day, and 13 ms more."""
+    days = turns(spark, sf_dir).select("file").distinct()
+    at = F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k")
+    return days.select("file", at).select("file", (F.col("k") * 7200).cast("double").alias("start"), ((F.col("k") * 7200 + 3600).cast("double") + 0.013).alias("end"))
+
+
+def spoken_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations' turns with the file as text, and no words."""
+    return _framed(conversation_turns(spark, sf_dir).drop("texts", "start_ms", "dur_ms").withColumn("file", F.col("file").cast("string")))
+
+
+def spoken_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file (as text), word_ord, word, start, end, speaker (who truly said it): every word of every conversation."""
+    before = Window.partitionBy("file").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    t = conversation_turns(spark, sf_dir).withColumn("n", F.size("texts").cast("long")).withColumn("done", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    said = t.select(F.col("file").alias("f"), "done", "n", "speaker")
+    w = conversation_words(spark, sf_dir)
+    found = w.join(said, (F.col("file") == F.col("f")) & (F.col("word_ord") >= F.col("done")) & (F.col("word_ord") < F.col("done") + F.col("n")))
+    return found.select(F.col("file").cast("string").alias("file"), "word_ord", "word", "start", "end", "speaker")

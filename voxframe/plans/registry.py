@@ -2,31 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxframe.functions import turns as fn
-from voxframe.operators import intervals, scoring, sequences
-from voxframe.plans import derived
+from voxframe.operators import intervals, sequences
+from voxframe.plans import derived, scores  # noqa: F401  (registers its queries)
+from voxframe.plans.base import FLAGSHIP, ORACLES, QUERIES, query  # noqa: F401
 from voxframe.sources import text_formats
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "a1_der"
-
-
-def query(name: str, sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = derived.SQL + sql
-        return f
-
-    return add
-
-
 LABEL = "'SPEAKER_' || lpad(CAST(speaker AS VARCHAR), 2, '0')"
 
 
@@ -103,50 +86,6 @@ SELECT file, CAST(s // 200 AS INTEGER) AS win, s AS start, least(s + 500, total)
         lambda spark, d, partial=_partial: intervals.sliding_windows(derived.totals(spark, d), 500, 200, partial)
     )
 
-CELLS = """, both_ AS (SELECT file, sf, ef FROM turns UNION ALL SELECT file, sf, ef FROM hyp),
-cuts AS (SELECT file, sf AS a FROM both_ UNION SELECT file, ef FROM both_),
-cells AS (SELECT file, a, lead(a) OVER (PARTITION BY file ORDER BY a) AS b FROM cuts QUALIFY b IS NOT NULL),
-r AS (SELECT DISTINCT c.file, c.a, c.b, t.speaker FROM cells c JOIN turns t ON c.file = t.file AND t.sf <= c.a AND c.b <= t.ef),
-h AS (SELECT DISTINCT c.file, c.a, c.b, t.speaker FROM cells c JOIN hyp t ON c.file = t.file AND t.sf <= c.a AND c.b <= t.ef),
-n AS (SELECT c.file, c.a, c.b - c.a AS w, (SELECT count(*) FROM r WHERE r.file = c.file AND r.a = c.a) AS nr, (SELECT count(*) FROM h WHERE h.file = c.file AND h.a = c.a) AS nh FROM cells c),
-counts AS (SELECT file, CAST(sum(w * nr) AS BIGINT) AS ref_frames, CAST(sum(w * greatest(0, nr - nh)) AS BIGINT) AS miss, CAST(sum(w * greatest(0, nh - nr)) AS BIGINT) AS fa, CAST(sum(w * least(nr, nh)) AS BIGINT) AS "both" FROM n GROUP BY file) """
-
-
-@query("a3_frame_counts", CELLS + "SELECT * FROM counts")
-def a3(spark, d):
-    return scoring.frame_counts(derived.turns(spark, d), derived.hypothesis(spark, d))
-
-
-@query("a4_co_occurrence", CELLS + "SELECT r.file, r.speaker AS ref_speaker, h.speaker AS hyp_speaker, CAST(sum(r.b - r.a) AS BIGINT) AS frames FROM r JOIN h ON r.file = h.file AND r.a = h.a GROUP BY ALL")
-def a4(spark, d):
-    return scoring.co_occurrence(derived.turns(spark, d), derived.hypothesis(spark, d))
-
-
-@query("a1_der")
-def a1(spark, d):
-    return scoring.der(derived.turns(spark, d), derived.hypothesis(spark, d))
-
-
-@query("a11_micro_macro", CELLS + "SELECT count(*) AS files, 100.0::DOUBLE * sum(miss + fa) / sum(ref_frames) AS micro, round(100.0::DOUBLE * avg((miss + fa)::DOUBLE / ref_frames), 6) AS macro FROM counts")
-def a11(spark, d):
-    return scoring.micro_macro(scoring.frame_counts(derived.turns(spark, d), derived.hypothesis(spark, d)))
-
-
-SCORES = """, s AS (SELECT floor(value) AS score, user_id % 2 = 0 AS same FROM events),
-g AS (SELECT score, sum(same::INT) AS pos, sum((NOT same)::INT) AS neg FROM s GROUP BY score),
-e AS (SELECT score AS threshold, 100.0::DOUBLE * sum(neg) OVER w / sum(neg) OVER () AS far, 100.0::DOUBLE * (sum(pos) OVER () - sum(pos) OVER w) / sum(pos) OVER () AS frr FROM g WINDOW w AS (ORDER BY score DESC)) """
-
-
-@query("a17_equal_error_rate", SCORES + "SELECT * FROM e ORDER BY abs(far - frr), threshold LIMIT 1")
-def a17(spark, d):
-    return scoring.equal_error_rate(spark.read.parquet(f"{d}/events.parquet").select(F.floor("value").cast("double").alias("score"), (F.col("user_id") % 2 == 0).alias("same")))
-
-
-@query("a19_speaker_rollup", "SELECT file, speaker, CAST(sum(ef - sf) AS BIGINT) AS frames, count(*) AS n_turns FROM turns GROUP BY ALL")
-def a19(spark, d):
-    return scoring.speaker_rollup(derived.turns(spark, d))
-
-
 @query("a20_num_speakers", "SELECT file, max(speaker) + 1 AS by_label, count(DISTINCT speaker) AS by_turn FROM turns GROUP BY file")
 def a20(spark, d):
     return derived.turns(spark, d).groupBy("file").agg((F.max("speaker") + 1).alias("by_label"), F.countDistinct("speaker").alias("by_turn"))
