@@ -38,7 +38,9 @@ WIDTH, SIMILARITY = 5, 0.8
 SAMPLED, MOST_COMMON = 16, 100_000
 #: Pairs are compared in cells, that hold their sets.
 CELLS, CELL_PAIRS = 1024, 1_000_000
-BITS = 512
+BITS = 256
+#: Bits that mark the documents whose sets are compared: 16 MB.
+MARKS = 1 << 27
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -92,8 +94,7 @@ def common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def heads(docs: DataFrame) -> DataFrame:
-    """doc_id, key (a hash of the set of shingles), n (their number), fp (SimHash), bits, head, shingles
-    (the whole set as sorted 32-bit halves of its hashes, packed)."""
+    """doc_id, key (a hash of the set of shingles), n (their number), fp (SimHash), bits, head."""
     shared = docs.sparkSession.sparkContext.broadcast(common(docs))
 
     def run(batches) -> Iterator:
@@ -108,13 +109,40 @@ def heads(docs: DataFrame) -> DataFrame:
                 keys = np.array([_key(x) for x in found], dtype=np.uint64).view(np.int64)
                 fps = np.array([majority(x) for x in every], dtype=np.uint64).view(np.int64)
                 own = [head(x, often, places) if len(x) else x for x in found]
-                packed = [np.sort(x.astype("<u4")).tobytes() for x in found]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(keys, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(fps, pa.int64()), _lists([bitmap(x) for x in found]), _lists(own), pa.array(packed, pa.binary())],
-                    ["doc_id", "key", "n", "fp", "bits", "head", "shingles"],
+                    [batch.column(0), pa.array(keys, pa.int64()), pa.array([len(x) for x in found], pa.int32()), pa.array(fps, pa.int64()), _lists([bitmap(x) for x in found]), _lists(own)],
+                    ["doc_id", "key", "n", "fp", "bits", "head"],
                 )
 
-    return id_text_prepared(docs).mapInArrow(run, "doc_id long, key long, n long, fp long, bits array<long>, head array<long>, shingles binary")
+    return id_text_prepared(docs).mapInArrow(run, "doc_id long, key long, n int, fp long, bits array<long>, head array<long>")
+
+
+def marked(ids: DataFrame) -> dict[int, bytes]:
+    """A bitmap of the ids' hashes, in at most ``MARKS`` / 32768 pieces of 4 KB, whatever the number of ids."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
+    rows = ids.select(at.alias("p")).groupBy(F.call_function("bitmap_bucket_number", F.col("p")).alias("k")).agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", F.col("p"))).alias("m"))
+    return {r["k"]: bytes(r["m"]) for r in rows.collect()}
+
+
+def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """key, shingles (as sorted 32-bit halves of their hashes, packed) of the documents with the ids, and of few more."""
+    marks = docs.sparkSession.sparkContext.broadcast(marked(ids))
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
+    rows = id_text_prepared(docs).select("text", F.call_function("bitmap_bucket_number", at).alias("k"), F.call_function("bitmap_bit_position", at).alias("p"))
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        held = marks.value
+        for batch in batches:
+            places = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            wanted = [i for i, (k, p) in enumerate(places) if k in held and held[k][p >> 3] >> (p & 7) & 1]
+            for start in range(0, len(wanted), 500):
+                found = [shingles(batch.column(0)[i].as_py()) for i in wanted[start : start + 500]]
+                keys = np.array([_key(x) for x in found], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([np.sort(x.astype("<u4")).tobytes() for x in found], pa.binary())], ["key", "shingles"])
+
+    return rows.mapInArrow(run, "key long, shingles binary")
 
 
 def may_be_similar(x: str, y: str) -> Column:
@@ -138,20 +166,25 @@ def by_simhash(sets: DataFrame) -> DataFrame:
     return same.unionAll(far.select(F.col("ka").alias("a"), F.col("kb").alias("b")))
 
 
-def by_centres(rows: DataFrame) -> DataFrame:
+def attributes(sets: DataFrame, x: str) -> DataFrame:
+    return sets.select(F.col("key").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
+
+
+def by_centres(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b: each set with one set of those that have a shingle of its head in theirs, another one for each shingle."""
-    centre = rows.groupBy("s").agg(F.min(F.struct(F.xxhash64("s", "key").alias("h"), "key", "n", "bits")).alias("c"))
-    centre = centre.select(F.col("s").alias("cs"), F.col("c.key").alias("b"), F.col("c.n").alias("nb"), F.col("c.bits").alias("bitsb"))
-    own = rows.select("s", F.col("key").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bitsa"))
-    return own.join(centre, (F.col("s") == F.col("cs")) & (F.col("a") != F.col("b")) & may_be_similar("a", "b")).select("a", "b")
+    centre = rows.groupBy("s").agg(F.min(F.struct(F.xxhash64("s", "key").alias("h"), "key")).alias("c")).select(F.col("s").alias("cs"), F.col("c.key").alias("b"))
+    pairs = rows.select("s", F.col("key").alias("a")).join(centre, (F.col("s") == F.col("cs")) & (F.col("a") != F.col("b"))).select("a", "b").distinct()
+    both = pairs.join(attributes(sets, "a"), F.col("a") == F.col("ka")).join(attributes(sets, "b"), F.col("b") == F.col("kb"))
+    return both.where(may_be_similar("a", "b")).select("a", "b")
 
 
-def between(rows: DataFrame, roots: DataFrame) -> DataFrame:
+def between(rows: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
     """a, b: the sets of different components (roots: node, root) whose heads meet and that may be similar."""
-    known = cut(rows.join(roots, F.col("key") == F.col("node"), "left").select("s", "key", "n", "bits", F.coalesce("root", "key").alias("root")))
+    known = rows.join(roots, F.col("key") == F.col("node"), "left").select("s", "key", F.coalesce("root", "key").alias("root"))
+    known = stored(known)
     mixed = known.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("s").alias("ms"))
     known = known.join(mixed, F.col("s") == F.col("ms"), "left_semi")
-    a, b = (known.select("s", F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"), F.col("root").alias(f"root{x}")) for x in "ab")
+    a, b = (known.select("s", F.col("key").alias(x), F.col("root").alias(f"root{x}")).join(attributes(sets, x), F.col(x) == F.col(f"k{x}")).drop(f"k{x}") for x in "ab")
     a = a.withColumnRenamed("s", "as")
     return a.join(b, (F.col("as") == F.col("s")) & (F.col("a") > F.col("b")) & (F.col("roota") != F.col("rootb")) & may_be_similar("a", "b")).select("a", "b")
 
@@ -167,11 +200,12 @@ def dealt(pairs: DataFrame) -> DataFrame:
     return led.join(hot, F.col("leader") == F.col("hot"), "left").select(cell.alias("cell"), "a", "b")
 
 
-def similar(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a > b: those of the pairs that reach the similarity. sets: key, shingles."""
+def similar(docs: DataFrame, by_key: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a > b: those of the pairs of keys that reach the similarity. by_key: key, least (a document that has the set)."""
     pairs = cut(dealt(cut(ordered(pairs))))
     ends = pairs.select(F.col("cell").alias("at"), F.explode(F.array("a", "b")).alias("end")).distinct()
-    needed = ends.join(sets, F.col("end") == F.col("key")).select("at", "key", "shingles")
+    ids = ends.select("end").distinct().join(by_key, F.col("end") == F.col("key")).select(F.col("least").alias("doc_id"))
+    needed = ends.join(whole_sets(docs, ids), F.col("end") == F.col("key")).dropDuplicates(["at", "key"]).select("at", "key", "shingles")
 
     def run(pairs, sets):
         import pyarrow as pa
@@ -192,13 +226,14 @@ def similar(sets: DataFrame, pairs: DataFrame) -> DataFrame:
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, component_id (the least doc_id of its group)."""
     found = stored(heads(docs))
+    by_key = cut(found.groupBy("key").agg(F.min("doc_id").alias("least")))
     sets = stored(found.drop("doc_id").dropDuplicates(["key"]))
-    rows = sets.select("key", "n", "bits", F.explode("head").alias("s"))
-    near = cut(similar(sets, by_simhash(sets).unionAll(by_centres(rows))))
-    roots = components(near)
-    far = similar(sets, between(rows, roots))
+    rows = sets.select("key", F.explode("head").alias("s"))
+    shared = rows.groupBy(F.col("s").alias("s2")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("s2")
+    rows = stored(rows.join(shared, F.col("s") == F.col("s2"), "left_semi"))
+    near = cut(similar(docs, by_key, by_simhash(sets).unionAll(by_centres(rows, sets))))
+    far = similar(docs, by_key, between(rows, sets, components(near)))
     roots = components(near.unionAll(far))
-    by_key = cut(found.groupBy("key").agg(F.min("doc_id").alias("least")))
     rooted = by_key.join(roots, by_key["key"] == roots["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = cut(rooted.select(F.col("key").alias("_key"), F.col("root").alias("_root")).join(named, F.col("_root") == F.col("root")).select("_key", "component_id"))
