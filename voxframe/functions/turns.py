@@ -47,8 +47,8 @@ def timecode(seconds: Column, mark: str = ".") -> Column:
 
 
 def cue_text(text: Column) -> Column:
-    """Text that can stand in a cue: no arrow, no line breaks."""
-    return F.regexp_replace(F.replace(text, F.lit("-->"), F.lit("-- >")), r"[\r\n]+", " ")
+    """Text that can stand in a cue: each line break is a space, no arrow."""
+    return F.replace(F.regexp_replace(text, r"\r\n|\r|\n", " "), F.lit("-->"), F.lit("-- >"))
 
 
 def vtt_text(text: Column) -> Column:
@@ -70,7 +70,33 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(fine, dot(a, b) / (F.sqrt(na) * F.sqrt(nb))).otherwise(0.0)
 
 
+def contains(start: Column, end: Column, at: Column) -> Column:
+    """Whether a time lies in the range, both ends included."""
+    return (start <= at) & (at <= end)
+
+
+def anchor(start: Column, end: Column, which: str) -> Column:
+    if which not in ("start", "mid", "end"):
+        raise ValueError("the anchor is start, mid or end")
+    return {"start": start, "mid": (start + end) / 2, "end": end}[which]
+
+
+def needs_repair(start: Column, end: Column) -> Column:
+    """Whether a word's times are not finite or have no length."""
+    return ~F.coalesce((end > start) & (F.abs(start) < float("inf")) & (F.abs(end) < float("inf")), F.lit(False))
+
+
 def confidence(similarity: Column, steepness: float = 10.0, middle: float = 0.5) -> Column:
-    """Logistic confidence of a cosine similarity."""
-    x = steepness * (F.when(F.isnan(similarity), -1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), similarity))) - middle)
+    """Logistic confidence of a cosine similarity, which counts as -1 if it is not finite. Parameters that can't be used are replaced by the defaults."""
+    finite = lambda x: x == x and abs(x) < float("inf")
+    k = steepness if finite(steepness) and steepness > 0 else 10.0
+    m = middle if finite(middle) else 0.5
+    known = F.when(F.isnan(similarity) | (F.abs(similarity) == float("inf")), -1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), similarity)))
+    x = k * (known - m)
     return F.when(x >= 20, 1.0).when(x <= -20, 0.0).otherwise(1 / (1 + F.exp(-x)))
+
+
+def distance_confidence(distance: Column, steepness: float = 10.0, middle: float = 0.5) -> Column:
+    """Confidence of a cosine distance, which counts as 2 if it is not finite."""
+    known = F.when(F.isnan(distance) | (F.abs(distance) == float("inf")), 2.0).otherwise(distance)
+    return confidence(1 - known, steepness, middle)

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxframe.functions.turns import ends_sentence, gap, overlap
+from voxframe.functions.turns import gap, overlap
 
 
 def merge_adjacent(turns: DataFrame, max_gap: float) -> DataFrame:
-    """Neighbours in input order with one speaker and a small gap become one; the end is the last end."""
+    """Neighbours in input order with one speaker and a small gap become one; the end is the last end. A confidence becomes the mean of those that are not null."""
     at = Window.partitionBy("file").orderBy("ord")
     joins = F.lag("speaker").over(at).eqNullSafe(F.col("speaker")) & (F.lag("ord").over(at).isNotNull()) & (F.col("start") - F.lag("end").over(at) <= max_gap)
     marked = turns.withColumn("fresh", F.when(joins, 0).otherwise(1)).withColumn("run", F.sum("fresh").over(at))
-    return marked.groupBy("file", "run").agg(F.min("speaker").alias("speaker"), F.min_by("start", "ord").alias("start"), F.max_by("end", "ord").alias("end"), F.count(F.lit(1)).alias("n_merged")).drop("run")
+    return marked.groupBy("file", "run").agg(F.min("speaker").alias("speaker"), F.min_by("start", "ord").alias("start"), F.max_by("end", "ord").alias("end"), F.count(F.lit(1)).alias("n_merged"), *([F.avg("confidence").alias("confidence")] if "confidence" in turns.columns else [])).drop("run")
 
 
 def merge_by_speaker(turns: DataFrame, max_gap: float = 0.0) -> DataFrame:
@@ -24,23 +24,6 @@ def merge_by_speaker(turns: DataFrame, max_gap: float = 0.0) -> DataFrame:
     return marked.withColumn("run", F.sum("fresh").over(at.rowsBetween(Window.unboundedPreceding, 0))).groupBy("file", "speaker", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
 
 
-def elementary(turns: DataFrame, first: str = "sf", end: str = "ef") -> DataFrame:
-    """file, a, b: the stretches between neighbouring turn boundaries, in frames."""
-    cuts = turns.select("file", F.explode(F.array(first, end)).alias("a")).distinct()
-    return cuts.withColumn("b", F.lead("a").over(Window.partitionBy("file").orderBy("a"))).where("b is not null")
-
-
-def speakers_of(turns: DataFrame, cells: DataFrame) -> DataFrame:
-    """file, a, b, speaker: who speaks in each cell, by opening and closing counts (no range join)."""
-    steps = turns.select("file", "speaker", F.explode(F.array(F.struct(F.col("sf").alias("a"), F.lit(1).alias("d")), F.struct(F.col("ef").alias("a"), F.lit(-1).alias("d")))).alias("x")).select("file", "speaker", "x.a", "x.d")
-    steps = steps.groupBy("file", "speaker", "a").agg(F.sum("d").alias("d"))
-    at = Window.partitionBy("file", "speaker").orderBy("a")
-    spans = steps.select("file", "speaker", "a", F.lead("a").over(at).alias("b"), F.sum("d").over(at).alias("open")).where("open > 0")
-    c = cells.select(F.col("file").alias("cf"), F.col("a").alias("ca"), F.col("b").alias("cb"))
-    near = c.join(spans, (F.col("cf") == F.col("file")) & (F.col("ca") >= F.col("a")) & (F.col("cb") <= F.col("b")))
-    return near.select("file", F.col("ca").alias("a"), F.col("cb").alias("b"), "speaker")
-
-
 def binned_join(left: DataFrame, right: DataFrame, condition: Column, width: float) -> DataFrame:
     """Rows of left (file, start, end) and right (rfile, rstart, rend) that can overlap, by equal bins of time.
 
@@ -77,21 +60,6 @@ def label_words(words: DataFrame, turns: DataFrame, last_turn: bool) -> DataFram
     return found.withColumn("confidence", F.when(F.col("speaker").isNotNull(), 1.0).otherwise(0.0))
 
 
-def attribute_words(words: DataFrame, turns: DataFrame, width: float = 60.0) -> DataFrame:
-    """words with the speaker of the turn of most overlap; ties to the smaller speaker, then the earlier turn; no overlap: null."""
-    right = turns.select(F.col("file").alias("rfile"), F.col("ord").alias("t_ord"), F.col("speaker").alias("t_speaker"), F.col("start").alias("rstart"), F.col("end").alias("rend"))
-    met = binned_join(words.select("file", "word_ord", "start", "end"), right, (F.col("start") < F.col("rend")) & (F.col("rstart") < F.col("end")), width)
-    met = met.withColumn("shared", overlap(F.col("start"), F.col("end"), F.col("rstart"), F.col("rend"))).where("shared > 0")
-    best = met.groupBy(F.col("file").alias("bf"), F.col("word_ord").alias("bo")).agg(F.min(F.struct((-F.col("shared")).alias("less"), "t_speaker", "t_ord")).alias("m"))
-    return words.join(best, (F.col("file") == F.col("bf")) & (F.col("word_ord") == F.col("bo")), "left").select(*words.columns, F.col("m.t_speaker").alias("speaker"), F.coalesce(-F.col("m.less"), F.lit(0.0)).alias("shared"))
-
-
-def sentences(words: DataFrame) -> DataFrame:
-    """words with the number of their sentence in the file, from 0."""
-    at = Window.partitionBy("file").orderBy("word_ord")
-    return words.withColumn("sentence", F.coalesce(F.sum(F.when(ends_sentence(F.col("word")), 1).otherwise(0)).over(at.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-
-
 def sliding_windows(lengths: DataFrame, width: int, hop: int, partial: bool) -> DataFrame:
     """file, win, start, end for every window over [0, total)."""
     if width <= 0 or hop <= 0 or hop > width:

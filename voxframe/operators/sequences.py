@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxframe.operators.intervals import elementary, speakers_of
+from voxframe.operators.spans import in_bins
 
 
 def hysteresis(frames: DataFrame, onset: float, offset: float) -> DataFrame:
@@ -28,12 +28,16 @@ def regions(frames: DataFrame, min_off: int, min_on: int) -> DataFrame:
 
 
 def exclusive_timeline(turns: DataFrame) -> DataFrame:
-    """file, speaker, a, b (frames): one speaker at a time, that of the longest covering turn; ties to the smaller speaker."""
-    cells = elementary(turns)
-    steps = turns.withColumn("len", F.col("ef") - F.col("sf"))
-    # Each turn is its own "speaker" here, so that the cells name turns; (length, speaker) decides between them.
-    own = steps.select("file", "sf", "ef", F.struct((-F.col("len")).alias("neg"), "speaker", "ord").alias("speaker"))
-    best = speakers_of(own, cells).groupBy("file", "a", "b").agg(F.min("speaker").alias("m")).select("file", "a", "b", F.col("m.speaker").alias("speaker"))
+    """file, speaker, a, b (frames): one speaker at a time, that of the longest covering turn in seconds; ties to the smaller speaker.
+
+    Turns are cut into bins of time; in each bin the stretches between its boundaries meet the turns of the bin alone.
+    """
+    rank = F.struct((F.col("start") - F.col("end")).alias("less"), "speaker", "ord").alias("rank")
+    spans = in_bins(turns.where("end > start").select("file", F.col("sf").alias("a"), F.col("ef").alias("b"), rank))
+    cuts = spans.select("file", "bin", F.explode(F.array("a", "b")).alias("ca")).distinct()
+    cells = cuts.withColumn("cb", F.lead("ca").over(Window.partitionBy("file", "bin").orderBy("ca"))).where("cb is not null").withColumnRenamed("file", "cf").withColumnRenamed("bin", "cbin")
+    met = cells.join(spans, (F.col("cf") == F.col("file")) & (F.col("cbin") == F.col("bin")) & (F.col("a") <= F.col("ca")) & (F.col("cb") <= F.col("b")))
+    best = met.groupBy("cf", "ca", "cb").agg(F.min("rank").alias("m")).select(F.col("cf").alias("file"), F.col("ca").alias("a"), F.col("cb").alias("b"), F.col("m.speaker").alias("speaker"))
     at = Window.partitionBy("file").orderBy("a")
     joins = (F.lag("speaker").over(at) == F.col("speaker")) & (F.lag("b").over(at) == F.col("a"))
     marked = best.withColumn("fresh", F.when(joins, 0).otherwise(1)).withColumn("run", F.sum("fresh").over(at))

@@ -11,6 +11,8 @@ from voxframe.plans import derived
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "a1_der"
+#: A speaker's label in SQL.
+LABEL = "'SPEAKER_' || lpad(CAST(speaker AS VARCHAR), 2, '0')"
 
 
 def query(name: str, sql: str | None = None):

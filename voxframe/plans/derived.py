@@ -18,8 +18,6 @@ turns AS (SELECT file, event_id AS ord, user_id % 8 AS speaker, start_ms / 1000.
 hyp0 AS (SELECT *, greatest(0, start_ms + (event_id % 7 - 3) * 50) AS s_ms FROM ev WHERE event_id % 11 <> 0),
 hyp AS (SELECT file, event_id AS ord, ((user_id * 5 + 3) % 8) % 6 AS speaker, s_ms / 1000.0::DOUBLE AS start, (s_ms + dur_ms) / 1000.0::DOUBLE AS "end",
                CAST(floor(least(8640000, s_ms / 1000.0::DOUBLE / 0.01::DOUBLE)) AS BIGINT) AS sf, CAST(ceil(least(8640000, (s_ms + dur_ms) / 1000.0::DOUBLE / 0.01::DOUBLE)) AS BIGINT) AS ef FROM hyp0),
-words AS (SELECT file, ord * 3 + k AS word_ord, start + k * 0.125::DOUBLE AS start, start + k * 0.125::DOUBLE + 0.0625::DOUBLE AS "end", CASE WHEN (ord + k) % 5 = 0 THEN 'stop.' ELSE 'go' END AS word
-          FROM turns, (SELECT unnest([0, 1, 2]) AS k) WHERE ord % 3 = 0),
 uem AS (SELECT file, (k * 7200)::DOUBLE AS start, (k * 7200 + 3600)::DOUBLE + 0.013 AS "end" FROM (SELECT DISTINCT file FROM turns), unnest(range(0, 12)) AS x(k)),
 cv0 AS (SELECT conv_id::VARCHAR AS file, turn AS ord, role, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') AS texts FROM conversations),
 cv1 AS (SELECT *, greatest(250, 60 * len(texts))::BIGINT AS dur_ms FROM cv0),
@@ -64,18 +62,7 @@ def hypothesis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _framed(ev.select("file", F.col("event_id").alias("ord"), ((F.col("user_id") * 5 + 3) % 8 % 6).alias("speaker"), (F.col("s") / 1000.0).alias("start"), ((F.col("s") + F.col("dur_ms")) / 1000.0).alias("end")))
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file, word_ord, start, end, word: three words in every third turn."""
-    t = turns(spark, sf_dir).where("ord % 3 = 0").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    start = F.col("start") + F.col("k") * 0.125
-    return t.select("file", (F.col("ord") * 3 + F.col("k")).alias("word_ord"), start.alias("start"), (start + 0.0625).alias("end"), F.when((F.col("ord") + F.col("k")) % 5 == 0, "stop.").otherwise("go").alias("word"))
-
-
 def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return turns(spark, sf_dir).groupBy("file").agg((F.max("ef") % 100000).alias("total"))
-
-
-def whole_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file, total: the whole length of each day in frames."""
     return turns(spark, sf_dir).groupBy("file").agg(F.max("ef").alias("total"))
 

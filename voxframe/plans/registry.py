@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from voxframe.functions import turns as fn
 from voxframe.operators import intervals, sequences
-from voxframe.plans import derived, scores  # noqa: F401  (registers its queries)
-from voxframe.plans.base import FLAGSHIP, ORACLES, QUERIES, query  # noqa: F401
+from voxframe.plans import derived, scores, speech  # noqa: F401  (register their queries)
+from voxframe.plans.base import FLAGSHIP, LABEL, ORACLES, QUERIES, query  # noqa: F401
 from voxframe.sources import text_formats
 
-LABEL = "'SPEAKER_' || lpad(CAST(speaker AS VARCHAR), 2, '0')"
 
 
 @query("p1_turn_scalars", 'SELECT file, ord, greatest("end" - start, 0) AS dur, (start + "end") / 2 AS mid, ' + LABEL + " AS label, sf, ef FROM turns")
@@ -57,35 +56,6 @@ def i3(spark, d):
     return intervals.merge_by_speaker(derived.turns(spark, d)).groupBy("file", "speaker").agg(F.sum(F.round((F.col("end") - F.col("start")) * 1000).cast("long")).alias("union_ms"))
 
 
-@query("i7_overlapping_pairs", 'SELECT a.file, a.ord, b.ord AS ord2, least(a."end", b."end") - greatest(a.start, b.start) AS shared FROM turns a JOIN turns b ON a.file = b.file AND a.ord < b.ord AND a.speaker <> b.speaker AND a.start < b."end" AND b.start < a."end"')
-def i7(spark, d):
-    return intervals.overlapping_pairs(derived.turns(spark, d))
-
-
-@query("i9_label_words", 'SELECT w.file, w.word_ord, w.word, (SELECT arg_min(t.speaker, t.ord) FROM turns t WHERE t.file = w.file AND t.start <= (w.start + w."end") / 2 AND (w.start + w."end") / 2 <= t."end") AS speaker FROM words w')
-def i9(spark, d):
-    return intervals.speaker_at_midpoint(derived.words(spark, d), derived.turns(spark, d)).select("file", "word_ord", "word", "speaker")
-
-
-@query("i12_attribute_words", """, c AS (SELECT w.file, w.word_ord, t.speaker, t.ord, least(w."end", t."end") - greatest(w.start, t.start) AS shared FROM words w JOIN turns t ON w.file = t.file AND w.start < t."end" AND t.start < w."end"),
-b AS (SELECT * FROM c WHERE shared > 0 QUALIFY row_number() OVER (PARTITION BY file, word_ord ORDER BY shared DESC, speaker, ord) = 1)
-SELECT w.file, w.word_ord, b.speaker, coalesce(b.shared, 0) AS shared FROM words w LEFT JOIN b USING (file, word_ord)""")
-def i12(spark, d):
-    return intervals.attribute_words(derived.words(spark, d), derived.turns(spark, d)).select("file", "word_ord", "speaker", "shared")
-
-
-@query("i13_sentences", """, s AS (SELECT *, CAST(coalesce(sum(CASE WHEN word = 'stop.' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY word_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS sentence FROM words)
-SELECT file, sentence, count(*) AS n_words, min(start) AS start FROM s GROUP BY ALL""")
-def i13(spark, d):
-    return intervals.sentences(derived.words(spark, d)).groupBy("file", "sentence").agg(F.count(F.lit(1)).alias("n_words"), F.min("start").alias("start"))
-
-
-for _name, _partial in (("w1_windows", False), ("w2_windows_partial", True)):
-    query(_name, f""", t AS (SELECT file, max(ef) % 100000 AS total FROM turns GROUP BY file)
-SELECT file, CAST(s // 200 AS INTEGER) AS win, s AS start, least(s + 500, total) AS "end" FROM t, unnest(range(0, total {'' if _partial else '- 499'}, 200)) AS x(s)""")(
-        lambda spark, d, partial=_partial: intervals.sliding_windows(derived.totals(spark, d), 500, 200, partial)
-    )
-
 @query("a20_num_speakers", "SELECT file, max(speaker) + 1 AS by_label, count(DISTINCT speaker) AS by_turn FROM turns GROUP BY file")
 def a20(spark, d):
     return derived.turns(spark, d).groupBy("file").agg((F.max("speaker") + 1).alias("by_label"), F.countDistinct("speaker").alias("by_turn"))
@@ -116,20 +86,6 @@ def s6(spark, d):
     return text_formats.parse_uem(t.select(F.concat_ws(" ", "file", F.lit("1"), F.col("ord").cast("string"), (F.col("ord") + F.col("speaker")).cast("string")).alias("line")))
 
 
-def _timecode(x: str, mark: str) -> str:
-    return f"printf('%02d:%02d:%02d{mark}%03d', CAST(round({x}*1000) AS BIGINT) // 3600000, CAST(round({x}*1000) AS BIGINT) // 60000 % 60, CAST(round({x}*1000) AS BIGINT) // 1000 % 60, CAST(round({x}*1000) AS BIGINT) % 1000)"
-
-
-@query("s17_srt", f"""SELECT file, ord, row_number() OVER (PARTITION BY file ORDER BY ord) || chr(10) || {_timecode('start', ',')} || ' --> ' || {_timecode('"end"', ',')} || chr(10) || {LABEL} || ': turn ' || ord AS cue FROM turns""")
-def s17(spark, d):
-    return text_formats.srt_cues(derived.turns(spark, d).withColumn("text", F.concat(F.lit("turn "), F.col("ord").cast("string"))))
-
-
-@query("s18_vtt", f"""SELECT file, ord, {_timecode('start', '.')} || ' --> ' || {_timecode('"end"', '.')} || chr(10) || '<v ' || {LABEL} || '>a &lt; b &amp; c</v>' AS cue FROM turns""")
-def s18(spark, d):
-    return text_formats.vtt_cues(derived.turns(spark, d).withColumn("text", F.lit("a < b & c")))
-
-
 def _frames(spark, d):
     return derived.turns(spark, d).select("file", F.col("ord").alias("frame"), ((F.col("ord") * 37 % 100) / 100.0).alias("prob"))
 
@@ -152,7 +108,7 @@ def q4(spark, d):
 
 @query("i6_exclusive_timeline", """, cuts AS (SELECT file, sf AS a FROM turns UNION SELECT file, ef FROM turns),
 cells AS (SELECT file, a, lead(a) OVER (PARTITION BY file ORDER BY a) AS b FROM cuts QUALIFY b IS NOT NULL),
-best AS (SELECT c.file, c.a, c.b, t.speaker FROM cells c JOIN turns t ON c.file = t.file AND t.sf <= c.a AND c.b <= t.ef QUALIFY row_number() OVER (PARTITION BY c.file, c.a ORDER BY t.ef - t.sf DESC, t.speaker, t.ord) = 1),
+best AS (SELECT c.file, c.a, c.b, t.speaker FROM cells c JOIN turns t ON c.file = t.file AND t.sf <= c.a AND c.b <= t.ef AND t."end" > t.start QUALIFY row_number() OVER (PARTITION BY c.file, c.a ORDER BY t."end" - t.start DESC, t.speaker, t.ord) = 1),
 m AS (SELECT *, CASE WHEN lag(speaker) OVER w = speaker AND lag(b) OVER w = a THEN 0 ELSE 1 END AS fresh FROM best WINDOW w AS (PARTITION BY file ORDER BY a)),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY file ORDER BY a) AS run FROM m)
 SELECT file, min(speaker) AS speaker, min(a) AS a, max(b) AS b FROM r GROUP BY file, run""")
@@ -172,45 +128,19 @@ def c29(spark, d):
     return sequences.majority_map(derived.turns(spark, d).select("file", F.col("speaker").alias("local"), (F.col("ord") % 3).alias("global_id"), (F.col("ef") - F.col("sf")).alias("seconds")))
 
 
-@query("i11_interpolate_times", """, w AS (SELECT file, word_ord, start, CASE WHEN word_ord % 4 = 0 THEN start ELSE "end" END AS "end" FROM words),
-n AS (SELECT *, NOT ("end" > start) AS bad FROM w),
-p AS (SELECT *, last_value(CASE WHEN NOT bad THEN "end" END IGNORE NULLS) OVER (PARTITION BY file ORDER BY word_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe,
-                first_value(CASE WHEN NOT bad THEN start END IGNORE NULLS) OVER (PARTITION BY file ORDER BY word_ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS ns FROM n),
-x AS (SELECT *, CASE WHEN pe IS NOT NULL THEN pe WHEN ns IS NOT NULL THEN greatest(ns - 0.001::DOUBLE, 0) ELSE 0 END AS s2, CASE WHEN ns IS NOT NULL THEN ns WHEN pe IS NOT NULL THEN pe + 0.001::DOUBLE ELSE 0.001::DOUBLE END AS e2 FROM p)
-SELECT file, word_ord, CASE WHEN NOT bad THEN start WHEN e2 > s2 THEN s2 ELSE greatest(s2, 0) END AS start, CASE WHEN NOT bad THEN "end" WHEN e2 > s2 THEN e2 ELSE greatest(s2, 0) + 0.001::DOUBLE END AS "end", bad AS interpolated FROM x""")
-def i11(spark, d):
-    w = derived.words(spark, d).select("file", "word_ord", "start", F.when(F.col("word_ord") % 4 == 0, F.col("start")).otherwise(F.col("end")).alias("end"))
-    return sequences.interpolate_times(w)
-
-
 @query("a21_label_flip_rate", "SELECT file, avg((t.speaker <> h.speaker)::INT::DOUBLE) AS rate FROM turns t JOIN hyp h USING (file, ord) GROUP BY file")
 def a21(spark, d):
     pick = lambda df: df.select("file", F.col("ord").alias("place"), F.col("speaker").alias("label"))
     return sequences.label_flip_rate(pick(derived.turns(spark, d)), pick(derived.hypothesis(spark, d)))
 
 
-for _name, _partial in (("w1_windows_whole", False), ("w2_windows_partial_whole", True)):
+for _name, _partial in (("w1_windows", False), ("w2_windows_partial", True)):
     query(_name, f""", t AS (SELECT file, max(ef) AS total FROM turns GROUP BY file)
 SELECT file, CAST(s // 200 AS INTEGER) AS win, s AS start, least(s + 500, total) AS "end" FROM t, unnest(range(0, total {'' if _partial else '- 499'}, 200)) AS x(s)""")(
-        lambda spark, d, partial=_partial: intervals.sliding_windows(derived.whole_totals(spark, d), 500, 200, partial)
+        lambda spark, d, partial=_partial: intervals.sliding_windows(derived.totals(spark, d), 500, 200, partial)
     )
 
 
-@query("i9_label_words_whole")
-def i9_whole(spark, d):
-    return intervals.label_words(derived.conversation_words(spark, d), derived.conversation_turns(spark, d), True).select("file", "word_ord", "word", "speaker", "confidence")
-
-
-@query("i11_interpolate_times_whole")
-def i11_whole(spark, d):
-    return sequences.interpolate_times(derived.conversation_words(spark, d).select("file", "word_ord", "start", "end"))
-
-
-@query("i12_attribute_words_whole")
-def i12_whole(spark, d):
-    return intervals.attribute_words(derived.conversation_words(spark, d), derived.conversation_turns(spark, d)).select("file", "word_ord", "speaker", "shared")
-
-
-@query("i13_sentences_whole")
-def i13_whole(spark, d):
-    return intervals.sentences(derived.conversation_words(spark, d)).groupBy("file", "sentence").agg(F.count(F.lit(1)).alias("n_words"), F.min("start").alias("start"))
+@query("i7b_turn_overlaps", 'SELECT a.file, a.ord, b.ord AS ord2, least(a."end", b."end") - greatest(a.start, b.start) AS shared FROM turns a JOIN turns b ON a.file = b.file AND a.ord < b.ord AND a.speaker <> b.speaker AND a.start < b."end" AND b.start < a."end"')
+def i7b(spark, d):
+    return intervals.overlapping_pairs(derived.turns(spark, d))
