@@ -51,6 +51,11 @@ def canonical_labels(labels: DataFrame) -> DataFrame:
     return labels.join(ranked, (F.col("file") == F.col("cf")) & (F.col("label") == F.col("cl"))).drop("cf", "cl")
 
 
+def local_global(pairs: DataFrame) -> DataFrame:
+    """file, local, global_id, seconds: the summed positive seconds of each pair."""
+    return pairs.where("seconds > 0").groupBy("file", "local", "global_id").agg(F.sum("seconds").alias("seconds"))
+
+
 def majority_map(pairs: DataFrame) -> DataFrame:
     """file, local, global_id, seconds -> the global id of most time for each local one; ties to the smaller id."""
     summed = pairs.groupBy("file", "local", "global_id").agg(F.sum("seconds").alias("seconds")).where("seconds > 0")
