@@ -73,3 +73,40 @@ def nearest_gap(a: DataFrame) -> DataFrame:
     """turns with the gap to the turn before in the file (0 where they touch or overlap)."""
     at = Window.partitionBy("file").orderBy("start", "ord")
     return a.withColumn("gap", F.when(F.lag("ord").over(at).isNotNull(), gap(F.lag("start").over(at), F.lag("end").over(at), F.col("start"), F.col("end"))))
+
+
+def dense_windows(segments: DataFrame, width: float) -> DataFrame:
+    """file, ord, win, start, end: windows of ``width`` s every half of it (0.05 s at least) over each segment; a short one stays whole,
+    the last window ends with the segment. Starts are sums of steps, as a loop makes them."""
+    hop = max(width / 2, 0.05)
+    most = F.greatest(F.lit(0), F.ceil((F.col("end") - F.col("start") - width) / hop).cast("int") + 1)
+    starts = F.when(F.col("end") - F.col("start") <= width, F.array("start")).otherwise(F.aggregate(F.sequence(F.lit(0), most), F.array("start"), lambda a, _: F.concat(a, F.array(F.element_at(a, -1) + hop))))
+    rows = segments.select("file", "ord", F.col("end").alias("till"), F.posexplode(starts).alias("win", "start"))
+    before = F.lag("start").over(Window.partitionBy("file", "ord").orderBy("win"))
+    rows = rows.withColumn("done", F.coalesce(before + width >= F.col("till"), F.lit(False))).where("not done")
+    return rows.select("file", "ord", "win", "start", F.least(F.col("start") + width, F.col("till")).alias("end"))
+
+
+def padded_windows(lengths: DataFrame, width: float = 10.0, hop: float = 2.0) -> DataFrame:
+    """file, win, start, end: windows from 0 while they begin within the length; each ends a whole width after its start."""
+    last = (F.ceil(F.col("length") / hop) - 1).cast("int")
+    rows = lengths.where("length > 0").select("file", F.explode(F.sequence(F.lit(0), last)).alias("win"))
+    return rows.select("file", "win", (F.col("win") * hop).alias("start"), (F.col("win") * hop + width).alias("end"))
+
+
+def chunks(lengths: DataFrame, width: int, overlap: int) -> DataFrame:
+    """file, chunk, start, end in samples: chunks that overlap, up to the one that reaches the end; a short recording is one chunk, an empty one none."""
+    step = max(width - overlap, 1)
+    n = F.when(F.lit(width <= 0) | (F.col("length") <= width), 0).otherwise(F.ceil((F.col("length") - width) / step)).cast("int")
+    rows = lengths.where("length > 0").select("file", "length", F.explode(F.sequence(F.lit(0), n)).alias("chunk"))
+    end = F.least(F.col("chunk") * step + width, F.col("length")) if width > 0 else F.col("length")
+    return rows.select("file", "chunk", (F.col("chunk") * step).cast("long").alias("start"), end.cast("long").alias("end"))
+
+
+def region_windows(regions: DataFrame, width: int, hop: int) -> DataFrame:
+    """file, ord, win, start, end, padding (samples): whole windows of each region; a shorter region is one window with zeros behind it."""
+    size = F.col("end") - F.col("start")
+    starts = F.when(size >= width, F.sequence(F.col("start"), F.col("end") - width, F.lit(hop).cast("long"))).otherwise(F.array("start"))
+    rows = regions.where("end > start").select("file", "ord", F.col("end").alias("till"), F.posexplode(starts).alias("win", "start"))
+    end = F.least(F.col("start") + width, F.col("till"))
+    return rows.select("file", "ord", "win", "start", end.alias("end"), (F.lit(width) - (end - F.col("start"))).alias("padding"))

@@ -22,7 +22,7 @@ def regions(frames: DataFrame, min_off: int, min_on: int) -> DataFrame:
     """file, first, last of the active stretches: gaps under min_off frames are bridged, stretches under min_on left out."""
     at = Window.partitionBy("file").orderBy("frame")
     on = frames.where("active")
-    marked = on.withColumn("fresh", F.when(F.col("frame") - F.lag("frame").over(at) - 1 < min_off, 0).otherwise(1)).withColumn("run", F.sum("fresh").over(at))
+    marked = on.withColumn("fresh", F.when(F.col("frame") - F.lag("frame").over(at) - 1 < max(min_off, 1), 0).otherwise(1)).withColumn("run", F.sum("fresh").over(at))
     out = marked.groupBy("file", "run").agg(F.min("frame").alias("first"), F.max("frame").alias("last")).drop("run")
     return out.where(F.col("last") - F.col("first") + 1 >= min_on)
 
