@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions import turns as fn
 from voxframe.operators import intervals, sequences
-from voxframe.plans import derived, frames, scores, speech, voices  # noqa: F401  (register their queries)
+from voxframe.plans import derived, frames, scores, speech, streams, voices  # noqa: F401  (register their queries)
 from voxframe.plans.base import FLAGSHIP, LABEL, ORACLES, QUERIES, query  # noqa: F401
 from voxframe.sources import text_formats
 
