@@ -78,22 +78,37 @@ def test_files_round_trip(spark, tmp_path):
     assert {(r["file"], r["start"], r["duration"], r["speaker"]) for r in rows} == {("f", 0.5, 0.75, "SPEAKER_00"), ("f", 1.0, 1.0, "SPEAKER_03")}
 
 
+TABLES = ("events", "embeddings", "conversations")
+#: Too many rows to fetch: compared by their number and sums.
+LARGE = ("w1_windows", "w2_windows_partial")
+
+
+def plain(value):
+    if isinstance(value, float):
+        return "nan" if value != value else round(value, 9) + 0.0
+    return tuple(map(plain, value)) if isinstance(value, (list, tuple)) else value
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, name):
     df = QUERIES[name](spark, DATA)
     names = sorted(df.columns)
-
-    def plain(rows):
-        return sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows), key=str)
-
-    got = plain(df.select(*[f"`{c}`" for c in names]).collect())
-    assert got
-    if name in ORACLES:
-        con = duckdb.connect()
-        for t in ("events", "embeddings"):
-            con.sql(f"CREATE VIEW {t} AS FROM '{DATA}/{t}.parquet'")
-        assert got == plain(con.sql("SELECT " + ", ".join(f'"{c}"' for c in names) + f" FROM ({ORACLES[name]})").fetchall())
+    if name not in ORACLES:
+        assert df.limit(1).count() == 1
+        return
+    con = duckdb.connect()
+    con.sql("SET TimeZone = 'UTC'")
+    for t in TABLES:
+        con.sql(f"CREATE VIEW {t} AS FROM '{DATA}/{t}.parquet'")
+    if name in LARGE:
+        got = df.agg(F.count(F.lit(1)), F.sum("win"), F.sum("start"), F.sum("end")).collect()[0]
+        assert tuple(got) == con.sql(f'SELECT count(*), sum(win), sum(start), sum("end") FROM ({ORACLES[name]})').fetchall()[0]
+        return
+    got = sorted(map(plain, df.select(*[f"`{c}`" for c in names]).collect()), key=str)
+    expected = con.execute(ORACLES[name])
+    at = [[c[0] for c in expected.description].index(c) for c in names]
+    assert got and got == sorted((plain([r[i] for i in at]) for r in expected.fetchall()), key=str)
 
 
 def test_entry_works_without_the_training_data_operators(monkeypatch):

@@ -1,7 +1,7 @@
 """Streams of samples to turns: a stateful streaming job, and the batch job that gives the same rows.
 
 Input rows: file, seq (rising within a file), samples; null samples end the stream. Rows of a file are put in the order of seq
-within a micro-batch; a seq that does not rise across batches is an error. The state of a file is one pickled ``Diarizer``.
+within a micro-batch; a seq that does not rise across batches is an error. The state of a file is one pickled ``Diarizer`` without its hooks.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ TURNS = "file string, speaker long, start double, end double, stable boolean"
 
 
 def advance(made: Callable[[], Diarizer], file: str, held: tuple[Diarizer, int] | None, rows: pd.DataFrame) -> tuple[tuple[Diarizer, int], pd.DataFrame]:
-    diarizer, last = held or (made(), -1)
+    fresh = made()
+    diarizer, last = held or (fresh, -1)
+    diarizer.vad, diarizer.embed = fresh.vad, fresh.embed
     out = []
     for seq, samples in rows.sort_values("seq", kind="stable")[["seq", "samples"]].itertuples(index=False):
         if seq <= last:

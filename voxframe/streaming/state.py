@@ -148,6 +148,10 @@ class Diarizer:
         self.cache = SpeakerCache(params.most_speakers, params.threshold, params.hits_to_stable, params.margin)
         self.rest, self.frames = np.zeros(0, dtype=np.float32), 0
 
+    def __getstate__(self) -> dict:
+        """What is kept between batches: all but the hooks, which may not be kept and are given anew."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("vad", "embed")}
+
     def _turn(self, start: int, window: np.ndarray, end: int) -> tuple[int, float, float, bool]:
         speaker, _, stable, _ = self.cache.assign(self.embed(window))
         return speaker, start / self.speech.rate, end / self.speech.rate, stable
