@@ -236,16 +236,23 @@ def wder(pairs: DataFrame) -> DataFrame:
     return out.select("file", "total_words", "speaker_errors", (F.col("speaker_errors") / F.col("total_words")).alias("wder"))
 
 
-def equal_error_rate(scores: DataFrame) -> DataFrame:
+def equal_error_rate(scores: DataFrame, slices: int = 4096) -> DataFrame:
     """One row, eer in percent: (far + frr) / 2 at the score where they differ least, the lowest of several; 1.0 if empty or of one class.
 
-    Equal scores are one step of counts, so the ordered window holds one row for each distinct score.
+    Counts are summed over ``slices`` equal parts of the range first, and only the distinct scores of a part are then put in order together.
     """
     steps = scores.groupBy("score").agg(F.sum(F.col("same").cast("long")).alias("pos"), F.sum((~F.col("same")).cast("long")).alias("neg"))
-    down, whole = Window.orderBy(F.desc("score")), Window.partitionBy()
-    far = F.sum("neg").over(down) / F.nullif(F.sum("neg").over(whole), F.lit(0))
-    frr = (F.sum("pos").over(whole) - F.sum("pos").over(down)) / F.nullif(F.sum("pos").over(whole), F.lit(0))
-    swept = steps.select("score", far.alias("far"), frr.alias("frr"))
+    whole = F.broadcast(steps.agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg")))  # one row
+    part = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (slices - 1))).otherwise(0)
+    steps = steps.join(whole, F.lit(True)).withColumn("part", part.cast("int"))
+    above = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = steps.groupBy(F.col("part").alias("p")).agg(F.sum("pos").alias("pp"), F.sum("neg").alias("pn"))  # ``slices`` rows at most
+    parts = parts.select("p", F.coalesce(F.sum("pp").over(above), F.lit(0)).alias("pos_above"), F.coalesce(F.sum("pn").over(above), F.lit(0)).alias("neg_above"))
+    down = Window.partitionBy("part").orderBy(F.desc("score"))
+    swept = steps.join(F.broadcast(parts), F.col("part") == F.col("p"))
+    far = (F.col("neg_above") + F.sum("neg").over(down)) / F.nullif(F.col("all_neg"), F.lit(0))
+    frr = (F.col("all_pos") - F.col("pos_above") - F.sum("pos").over(down)) / F.nullif(F.col("all_pos"), F.lit(0))
+    swept = swept.select("score", far.alias("far"), frr.alias("frr"))
     least = swept.agg(F.min(F.when(F.col("far").isNotNull() & F.col("frr").isNotNull(), F.struct(F.abs(F.col("far") - F.col("frr")).alias("gap"), "score", "far", "frr"))).alias("m"))
     return least.select(F.coalesce(100.0 * ((F.col("m.far") + F.col("m.frr")) / 2), F.lit(1.0)).alias("eer"))
 
