@@ -546,12 +546,15 @@ def cluster_files(units: DataFrame, f: Callable[[np.ndarray, np.ndarray, np.ndar
 
 
 def map_locals(seconds: dict[tuple[int, int], float], apart: list[tuple[int, int]] = ()) -> dict[int, int]:
-    """local -> global by most shared seconds one to one; what is left takes its own most; pairs that must differ are set apart."""
+    """local -> global by most shared seconds one to one. What shares nothing with its column takes a global that no other has, the
+    smallest, and where none is left its own most; pairs that must differ are set apart."""
     local, glob = sorted({a for a, _ in seconds}), sorted({g for (_, g), s in seconds.items() if s > 0})
     if not glob:
         return {a: i for i, a in enumerate(local)}
     gain = np.array([[seconds.get((a, g), 0.0) for g in glob] for a in local])
-    out = {a: glob[j] if j >= 0 else glob[int(gain[i].argmax())] for i, (a, j) in enumerate(zip(local, best_assignment(gain)))}
+    chosen = best_assignment(gain)
+    unused = [j for j in range(len(glob)) if j not in chosen]
+    out = {a: glob[j if j >= 0 else unused.pop(0) if unused else int(gain[i].argmax())] for i, (a, j) in enumerate(zip(local, chosen))}
     for a, b in apart:
         if a not in out or b not in out or out[a] != out[b]:
             continue

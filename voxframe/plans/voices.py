@@ -243,7 +243,8 @@ _clustered("c25_vbx", clustering.clusterer("vbx", plda=made_plda()))
 _clustered("c26_vbx_windowed", clustering.clusterer("vbx", plda=made_plda(), windowed=True, reconstruct=True))
 
 
-@query("c28_hungarian_map", """, p AS (SELECT file, speaker % 3 AS l, ord % 3 AS g, sum(ef - sf)::BIGINT AS w FROM turns GROUP BY ALL),
+@query("c28_hungarian_map", """, q AS (SELECT file, speaker % 3 AS l, ord % 3 AS g, sum(ef - sf)::BIGINT AS w FROM turns GROUP BY ALL),
+p AS (SELECT f.file, l.l, g.g, coalesce(w, 0) AS w FROM (SELECT DISTINCT file FROM q) f, unnest(range(0, 3)) AS l(l), unnest(range(0, 3)) AS g(g) LEFT JOIN q ON q.file = f.file AND q.l = l.l AND q.g = g.g),
 s AS (SELECT a.file, a.g AS g0, b.g AS g1, c.g AS g2, a.w + b.w + c.w AS t FROM p a JOIN p b ON a.file = b.file AND a.g <> b.g JOIN p c ON a.file = c.file AND c.g NOT IN (a.g, b.g) WHERE a.l = 0 AND b.l = 1 AND c.l = 2),
 m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY file ORDER BY t DESC) = 1)
 SELECT file, l AS local, [g0, g1, g2][l + 1] AS global_id FROM m, unnest(range(0, 3)) AS x(l)""")
