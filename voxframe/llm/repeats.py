@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxframe.llm.common import cut, id_and_text, prepare, stored
+from voxframe.llm.common import cut, discard, id_and_text, prepare, stored
 
 MOST, HOT, LEAST_HOT, CHUNK = 2000, 1000, 1000, 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -153,15 +153,18 @@ def repeated_windows(docs: DataFrame, shape: Shape, kernel: Callable[[list, pd.D
                     yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(hashes, pa.int32()), *(pa.array(np.concatenate(x)) for x in zip(*parts))], ["doc_id", "th", "pos", "h", "full"])
 
     # Most anchors occur once and end with a count of their hashes alone.
-    found = stored(rows.select("doc_id", "text", "th").mapInArrow(find, "doc_id long, th int, pos long, h long, full long"))
-    shared = stored(found.groupBy(F.col("h").alias("h2")).agg(F.count(F.lit(1)).alias("all")).where("all > 1"))
-    hot = hot_keys(shared, ["h2"], "all", found.count())
-    found = stored(salted_join(found, shared, {"h": "h2"}, hot, "left_semi").select("doc_id", "th", "pos", "h", "full"))
+    every = stored(rows.select("doc_id", "text", "th").mapInArrow(find, "doc_id long, th int, pos long, h long, full long"))
+    shared = stored(every.groupBy(F.col("h").alias("h2")).agg(F.count(F.lit(1)).alias("all")).where("all > 1"))
+    hot = hot_keys(shared, ["h2"], "all", every.count())
+    found = stored(salted_join(every, shared, {"h": "h2"}, hot, "left_semi").select("doc_id", "th", "pos", "h", "full"))
+    discard(every)
+    discard(shared)
     occurrence = F.struct("doc_id", "th", "pos")
-    classes = stored(found.groupBy("h", "full").agg(F.count(F.lit(1)).alias("n"), F.min(occurrence).alias("least")))
-    counts = cut(classes.groupBy(F.col("h").alias("h2")).agg(F.count(F.lit(1)).alias("classes")))
-    hot = hot_keys(counts, ["h2"], "classes", classes.count())
-    classes = stored(salted_join(classes, counts, {"h": "h2"}, hot).select("h", "full", "n", "least", "classes"))
+    counted = stored(found.groupBy("h", "full").agg(F.count(F.lit(1)).alias("n"), F.min(occurrence).alias("least")))
+    counts = cut(counted.groupBy(F.col("h").alias("h2")).agg(F.count(F.lit(1)).alias("classes")))
+    hot = hot_keys(counts, ["h2"], "classes", counted.count())
+    classes = stored(salted_join(counted, counts, {"h": "h2"}, hot).select("h", "full", "n", "least", "classes"))
+    discard(counted)
     copied = hot_keys(classes, ["h", "full"], "n", found.count())
 
     # One member of each class of a shared anchor, with its units. All joins with texts are part of one
