@@ -79,13 +79,13 @@ def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file, word_ord, start, end, word: every word of every conversation, in even slots of its turn; each 13th has no length."""
+    """file, word_ord, start, end, word, speaker (who truly said it): every word of every conversation, in even slots of its turn; each 13th has no length."""
     before = Window.partitionBy("file").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     t = conversation_turns(spark, sf_dir).withColumn("n", F.size("texts").cast("long")).withColumn("done", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    w = t.select("file", "start_ms", "dur_ms", "n", "done", F.posexplode("texts").alias("k", "word")).withColumn("word_ord", F.col("done") + F.col("k"))
+    w = t.select("file", "speaker", "start_ms", "dur_ms", "n", "done", F.posexplode("texts").alias("k", "word")).withColumn("word_ord", F.col("done") + F.col("k"))
     at = F.expr("start_ms + k * dur_ms div n")
     after = F.when(F.col("word_ord") % 13 == 12, at).otherwise(F.expr("start_ms + (k + 1) * dur_ms div n"))
-    return w.select("file", "word_ord", (at / 1000.0).alias("start"), (after / 1000.0).alias("end"), "word")
+    return w.select("file", "word_ord", (at / 1000.0).alias("start"), (after / 1000.0).alias("end"), "word", "speaker")
 
 
 def scored_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,10 +101,5 @@ def spoken_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spoken_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file (as text), word_ord, word, start, end, speaker (who truly said it): every word of every conversation."""
-    before = Window.partitionBy("file").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    t = conversation_turns(spark, sf_dir).withColumn("n", F.size("texts").cast("long")).withColumn("done", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    said = t.select(F.col("file").alias("f"), "done", "n", "speaker")
-    w = conversation_words(spark, sf_dir)
-    found = w.join(said, (F.col("file") == F.col("f")) & (F.col("word_ord") >= F.col("done")) & (F.col("word_ord") < F.col("done") + F.col("n")))
-    return found.select(F.col("file").cast("string").alias("file"), "word_ord", "word", "start", "end", "speaker")
+    """The conversations' words with the file as text."""
+    return conversation_words(spark, sf_dir).select(F.col("file").cast("string").alias("file"), "word_ord", "word", "start", "end", "speaker")

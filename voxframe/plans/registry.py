@@ -11,7 +11,6 @@ from voxframe.plans.base import FLAGSHIP, LABEL, ORACLES, QUERIES, query  # noqa
 from voxframe.sources import text_formats
 
 
-
 @query("p1_turn_scalars", 'SELECT file, ord, greatest("end" - start, 0) AS dur, (start + "end") / 2 AS mid, ' + LABEL + " AS label, sf, ef FROM turns")
 def p1(spark, d):
     return derived.turns(spark, d).select("file", "ord", fn.duration(F.col("start"), F.col("end")).alias("dur"), ((F.col("start") + F.col("end")) / 2).alias("mid"), fn.speaker_label(F.col("speaker")).alias("label"), "sf", "ef")
