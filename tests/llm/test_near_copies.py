@@ -66,3 +66,36 @@ def test_bitmaps_differ_in_no_more_bits_than_sets(spark):
         a = np.unique(r.integers(-(1 << 62), 1 << 62, 200))
         b = np.unique(np.concatenate([a[: r.integers(1, 200)], r.integers(-(1 << 62), 1 << 62, 30)]))
         assert np.unpackbits((bitmap(a) ^ bitmap(b)).view(np.uint8)).sum() <= len(np.setxor1d(a, b))
+
+
+def test_fine_bitmaps_of_any_sizes_differ_in_no_more_bits_than_sets():
+    from voxframe.llm.near_copies import apart, fine_bitmap
+
+    r = np.random.default_rng(10)
+    for _ in range(50):
+        a = np.unique(r.integers(-(1 << 62), 1 << 62, r.integers(0, 3000)))
+        b = np.unique(np.concatenate([a[: r.integers(0, len(a) + 1)], r.integers(-(1 << 62), 1 << 62, r.integers(0, 300))]))
+        assert apart(fine_bitmap(a), fine_bitmap(b)) == apart(fine_bitmap(b), fine_bitmap(a)) <= len(np.setxor1d(a, b))
+    unlike = [np.unique(r.integers(-(1 << 62), 1 << 62, 3000)) for _ in range(2)]
+    assert apart(*map(fine_bitmap, unlike)) > 0.2 / 1.8 * 6000
+
+
+def test_whole_sets_are_read_of_likely_pairs_only_and_spent_tables_are_deleted(spark, monkeypatch):
+    import pathlib
+
+    from voxframe.llm import common, near_copies
+
+    r = np.random.default_rng(12)
+    passage = [f"p{x}" for x in r.integers(0, 1 << 40, 900)]
+    texts = [passage + [f"w{x}" for x in r.integers(0, 1 << 40, 600)] for _ in range(20)]  # similarity 0.43, and too long for 256 bits
+    texts.append(edited(r, texts[0], 8))
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", None) for i, t in enumerate(texts)], DOCS)
+    read, whole = set(), near_copies.whole_sets
+    monkeypatch.setattr(near_copies, "whole_sets", lambda docs, ids: (read.update(x[0] for x in ids.collect()), whole(docs, ids))[1])
+    common.prepare(spark)
+    folder = pathlib.Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    before = set(folder.glob("*.parquet"))
+    found = near_copies.groups(docs)
+    assert sorted(tuple(x) for x in found.collect()) == [(i, i % 20) for i in range(21)]
+    assert read == {0, 20}
+    assert [spark.read.parquet(str(x)).columns for x in set(folder.glob("*.parquet")) - before] == [["doc_id", "component_id"]]

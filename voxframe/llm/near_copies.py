@@ -13,8 +13,9 @@ Not all pairs of a group are written out. First each set meets one centre for ea
 the components of what is verified then stand for their members, and only pairs of different
 components are looked for among sets whose heads meet. Of those, a bitmap filter leaves out pairs that
 differ too much: each set has ``BITS`` bits, turned over once for each of its shingles, so that two sets
-differ in at least as many shingles as their bitmaps in bits. Both filters are exact: every pair of
-similarity 0.8 is either verified or inside one component already.
+differ in at least as many shingles as their bitmaps in bits. That says little of long sets, so what is
+left is compared by finer bitmaps, of a bit or more for each shingle, before whole sets are read. All
+filters are exact: every pair of similarity 0.8 is either verified or inside one component already.
 
 Rows: a null or wordless text has the empty set, which is similar only to itself; fewer than five
 words make one shingle; a null id names no group unless no other id is in it; repeated rows are one
@@ -30,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxframe.llm.common import cut, id_and_text, prepare, stored
+from voxframe.llm.common import cut, discard, free, id_and_text, prepare, stored
 from voxframe.llm.simhash import SEED, components, links, majority, shingle_hashes, words_of
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -61,6 +62,22 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def fine_bitmap(hashes: np.ndarray) -> np.ndarray:
+    """The same with as many bits as shingles, or more: a power of two, 8 at least."""
+    size = max(8, 1 << (len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes.view(np.uint64) >> np.uint64(20)).astype(np.int64) % size, minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> int:
+    """The bits that two fine bitmaps differ in, with the larger one folded to the smaller one's size."""
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.unpackbits(x ^ y).sum())
+
+
 def _lists(rows: list[np.ndarray]):
     import pyarrow as pa
 
@@ -94,7 +111,7 @@ def common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def heads(docs: DataFrame) -> DataFrame:
-    """doc_id, key (a hash of the set of shingles), n (their number), fp (SimHash), bits, head."""
+    """doc_id, key (a hash of the set of shingles), n (their number), fp (SimHash), bits, fine, head."""
     shared = docs.sparkSession.sparkContext.broadcast(common(docs))
 
     def run(batches) -> Iterator:
@@ -110,11 +127,11 @@ def heads(docs: DataFrame) -> DataFrame:
                 fps = np.array([majority(x) for x in every], dtype=np.uint64).view(np.int64)
                 own = [head(x, often, places) if len(x) else x for x in found]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(keys, pa.int64()), pa.array([len(x) for x in found], pa.int32()), pa.array(fps, pa.int64()), _lists([bitmap(x) for x in found]), _lists(own)],
-                    ["doc_id", "key", "n", "fp", "bits", "head"],
+                    [batch.column(0), pa.array(keys, pa.int64()), pa.array([len(x) for x in found], pa.int32()), pa.array(fps, pa.int64()), _lists([bitmap(x) for x in found]), pa.array([fine_bitmap(x).tobytes() for x in found], pa.binary()), _lists(own)],
+                    ["doc_id", "key", "n", "fp", "bits", "fine", "head"],
                 )
 
-    return id_text_prepared(docs).mapInArrow(run, "doc_id long, key long, n int, fp long, bits array<long>, head array<long>")
+    return id_text_prepared(docs).mapInArrow(run, "doc_id long, key long, n int, fp long, bits array<long>, fine binary, head array<long>")
 
 
 def marked(ids: DataFrame) -> dict[int, bytes]:
@@ -178,10 +195,8 @@ def by_centres(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(may_be_similar("a", "b")).select("a", "b")
 
 
-def between(rows: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """a, b: the sets of different components (roots: node, root) whose heads meet and that may be similar."""
-    known = rows.join(roots, F.col("key") == F.col("node"), "left").select("s", "key", F.coalesce("root", "key").alias("root"))
-    known = stored(known)
+def between(known: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: the sets of different components whose heads meet and that may be similar. known: s, key, root."""
     mixed = known.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("s").alias("ms"))
     known = known.join(mixed, F.col("s") == F.col("ms"), "left_semi")
     a, b = (known.select("s", F.col("key").alias(x), F.col("root").alias(f"root{x}")).join(attributes(sets, x), F.col(x) == F.col(f"k{x}")).drop(f"k{x}") for x in "ab")
@@ -200,44 +215,85 @@ def dealt(pairs: DataFrame) -> DataFrame:
     return led.join(hot, F.col("leader") == F.col("hot"), "left").select(cell.alias("cell"), "a", "b")
 
 
-def similar(docs: DataFrame, by_key: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a > b: those of the pairs of keys that reach the similarity. by_key: key, least (a document that has the set)."""
-    pairs = cut(dealt(cut(ordered(pairs))))
-    ends = pairs.select(F.col("cell").alias("at"), F.explode(F.array("a", "b")).alias("end")).distinct()
-    ids = ends.select("end").distinct().join(by_key, F.col("end") == F.col("key")).select(F.col("least").alias("doc_id"))
-    needed = ends.join(whole_sets(docs, ids), F.col("end") == F.col("key")).dropDuplicates(["at", "key"]).select("at", "key", "shingles")
+def ends(pairs: DataFrame) -> DataFrame:
+    """at, end: the keys of the pairs in each cell, once."""
+    return pairs.select(F.col("cell").alias("at"), F.explode(F.array("a", "b")).alias("end")).distinct()
 
-    def run(pairs, sets):
+
+def by_cells(pairs: DataFrame, held: DataFrame, column: str, agree) -> DataFrame:
+    """cell, a, b: those of the pairs whose values pass. held: at, key, the column (what the keys of a cell hold)."""
+
+    def run(pairs, held):
         import pyarrow as pa
 
-        own = {k: np.frombuffer(x.as_py(), dtype="<u4") for k, x in zip(sets.column("key").to_pylist(), sets.column("shingles"))}
-        kept = []
-        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
-            both = np.concatenate((own[a], own[b]))
-            both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            if shared >= SIMILARITY * (len(both) - shared) - 1e-9:
-                kept.append((a, b))
-        return pa.table({c: pa.array([x[i] for x in kept], pa.int64()) for i, c in enumerate("ab")})
+        own = dict(zip(held.column("key").to_pylist(), (x.as_py() for x in held.column(column))))
+        rows = [(c, a, b) for c, a, b in zip(*(pairs.column(i).to_pylist() for i in ("cell", "a", "b"))) if agree(own[a], own[b])]
+        return pa.table({c: pa.array([x[i] for x in rows], t) for i, (c, t) in enumerate((("cell", pa.string()), ("a", pa.int64()), ("b", pa.int64())))})
+
+    return pairs.groupBy("cell").cogroup(held.groupBy("at")).applyInArrow(run, "cell string, a long, b long")
+
+
+def fine_may_agree(x: dict, y: dict) -> bool:
+    """Whether sizes and fine bitmaps of two sets allow the similarity."""
+    if min(x["n"], y["n"]) < SIMILARITY * max(x["n"], y["n"]) - 1e-9:
+        return False
+    differ = apart(*(np.frombuffer(v["fine"], dtype=np.uint8) for v in (x, y)))
+    return differ <= (1 - SIMILARITY) / (1 + SIMILARITY) * (x["n"] + y["n"]) + 1e-9
 
-    return pairs.groupBy("cell").cogroup(needed.groupBy("at")).applyInArrow(run, "a long, b long")
+
+def sets_agree(x: bytes, y: bytes) -> bool:
+    """Whether two packed sets reach the similarity."""
+    both = np.concatenate([np.frombuffer(v, dtype="<u4") for v in (x, y)])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared >= SIMILARITY * (len(both) - shared) - 1e-9
+
+
+def similar(docs: DataFrame, by_key: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a > b: those of the pairs of keys that reach the similarity. by_key: key, least (a document that has the set)."""
+    pairs = cut(dealt(cut(ordered(pairs))))
+    free(docs.sparkSession)
+    fine = sets.select("key", F.struct("n", "fine").alias("fine"))
+    pairs = cut(by_cells(pairs, ends(pairs).join(fine, F.col("end") == F.col("key")).select("at", "key", "fine"), "fine", fine_may_agree))
+    ids = ends(pairs).select("end").distinct().join(by_key, F.col("end") == F.col("key")).select(F.col("least").alias("doc_id"))
+    needed = ends(pairs).join(whole_sets(docs, ids), F.col("end") == F.col("key")).dropDuplicates(["at", "key"]).select("at", "key", "shingles")
+    return by_cells(pairs, needed, "shingles", sets_agree).select("a", "b")
+
+
+def shared_heads(sets: DataFrame) -> DataFrame:
+    """key, s: the shingles of the heads, without those that are in one head only."""
+    rows = sets.select("key", F.explode("head").alias("s"))
+    shared = rows.groupBy(F.col("s").alias("s2")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("s2")
+    return stored(rows.join(shared, F.col("s") == F.col("s2"), "left_semi"))
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, component_id (the least doc_id of its group)."""
+    spark = docs.sparkSession
     found = stored(heads(docs))
     by_key = cut(found.groupBy("key").agg(F.min("doc_id").alias("least")))
     sets = stored(found.drop("doc_id").dropDuplicates(["key"]))
-    rows = sets.select("key", F.explode("head").alias("s"))
-    shared = rows.groupBy(F.col("s").alias("s2")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("s2")
-    rows = stored(rows.join(shared, F.col("s") == F.col("s2"), "left_semi"))
-    near = cut(similar(docs, by_key, by_simhash(sets).unionAll(by_centres(rows, sets))))
-    far = similar(docs, by_key, between(rows, sets, components(near)))
+    keys = stored(found.select("doc_id", "key"))
+    discard(found)
+    free(spark)
+    rows = shared_heads(sets)
+    free(spark)
+    near = cut(similar(docs, by_key, sets, by_simhash(sets).unionAll(by_centres(rows, sets))))
+    free(spark)
+    known = stored(rows.join(components(near), F.col("key") == F.col("node"), "left").select("s", "key", F.coalesce("root", "key").alias("root")))
+    discard(rows)
+    free(spark)
+    far = cut(similar(docs, by_key, sets, between(known, sets)))
+    discard(known)
+    discard(sets)
+    free(spark)
     roots = components(near.unionAll(far))
     rooted = by_key.join(roots, by_key["key"] == roots["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = cut(rooted.select(F.col("key").alias("_key"), F.col("root").alias("_root")).join(named, F.col("_root") == F.col("root")).select("_key", "component_id"))
-    return found.select("doc_id", "key").join(ids, F.col("key") == F.col("_key")).select("doc_id", "component_id")
+    ids = rooted.select(F.col("key").alias("_key"), F.col("root").alias("_root")).join(named, F.col("_root") == F.col("root")).select("_key", "component_id")
+    out = stored(keys.join(ids, F.col("key") == F.col("_key")).select("doc_id", "component_id"))
+    discard(keys)
+    return out
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -245,5 +301,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     # A key without nulls, so that the join and the removal of repeated rows deal the texts out once.
     key = lambda c: F.coalesce(F.col(c).cast("long").cast("string"), F.lit("null"))
     least = groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key("doc_id").alias("least")).distinct()
+    free(docs.sparkSession)
     rows = docs.select(F.struct("*").alias("row"), key("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"))
     return rows.join(least, F.col("id") == F.col("least"), "left_semi").dropDuplicates(["id", "text_hash"]).select("row.*")
