@@ -104,3 +104,27 @@ def test_result_files(spark):
         text_formats.remap_speakers(t, spark.createDataFrame([(0, 1), (0, 2)], "old long, new long"))
     with pytest.raises(ValueError):
         text_formats.strict_uem(spark.createDataFrame([("; nothing",)], "line string"))
+
+
+def test_word_pairs_with_equal_distances_take_the_first_place(spark):
+    kind = "file string, word_ord long, word string, start double, end double, speaker long"
+    far, near = 10.004, 10.004000000000001  # as far from 100.0 in double precision
+    assert far < near and 100.0 - far == 100.0 - near
+    ref = spark.createDataFrame([("f", 0, "a", 100.0, 100.0, 0)], kind)
+    for words, expected in (((far, near), [7]), ((near, far), [7]), ((near, far, 190.5), [7])):
+        hyp = spark.createDataFrame([("f", i, "A", m, m, 7 + i) for i, m in enumerate(words)] + [("f", 9, "b", 100.0, 100.0, 3)], kind)
+        assert [r["hyp_speaker"] for r in scoring.word_pairs(ref, hyp).collect()] == expected
+
+
+def test_word_pairs_equal_a_scan(spark):
+    r = random.Random(8)
+    kind = "file string, word_ord long, word string, start double, end double, speaker long"
+    rows = [[(str(f), i, r.choice("ab"), a := r.randrange(0, 60) / 10 + 0.004 * r.randrange(3), a + r.randrange(0, 4) / 10, r.choice([0, 1, None])) for f in range(6) for i in range(n)] for n in (30, 26)]
+    ref, hyp = rows
+    expected = {}
+    for f, i, w, a, b, s in ref:
+        if s is not None:
+            met = [(abs((a + b) / 2 - (c + d) / 2), j, t) for g, j, v, c, d, t in hyp if (g, v) == (f, w)]
+            expected[f, i] = (s, min(met, key=lambda m: m[:2])[2] if met else None)
+    got = scoring.word_pairs(spark.createDataFrame(ref, kind), spark.createDataFrame(hyp, kind)).collect()
+    assert {(x["file"], x["word_ord"]): (x["ref_speaker"], x["hyp_speaker"]) for x in got} == expected and len(got) == len(expected)

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voxframe.functions.turns import simple_upper
 from voxframe.operators import intervals, scoring
 from voxframe.plans.registry import ORACLES, QUERIES
 from voxframe.sources import text_formats
@@ -111,6 +112,34 @@ def test_query_equals_sql(spark, name):
     assert got and got == sorted((plain([r[i] for i in at]) for r in expected.fetchall()), key=str)
 
 
+def same_as_sql(spark, name, folder, **tables):
+    """Whether the query's rows over the given tables (lists of tuples and their schema) equal its SQL's, signs of zeros included."""
+    con = duckdb.connect()
+    con.sql("SET TimeZone = 'UTC'")
+    for t, (rows, kind) in tables.items():
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{t}.parquet")
+        con.sql(f"CREATE VIEW {t} AS FROM '{folder}/{t}.parquet/*.parquet'")
+    for t in TABLES:
+        if t not in tables:
+            con.sql(f"CREATE VIEW {t} AS FROM '{DATA}/{t}.parquet'")
+    df = QUERIES[name](spark, str(folder))
+    expected = con.execute(ORACLES[name])
+    names = [c[0] for c in expected.description]
+    return sorted(map(str, map(tuple, df.select(*[f"`{c}`" for c in names]).collect()))) == sorted(map(str, expected.fetchall()))
+
+
+def test_upper_case_is_that_of_sql(spark):
+    letters = [chr(i) for i in range(1, 0x11000) if not 0xD800 <= i < 0xE000] + ["Straße", "ŉﬁx", "ΐa"]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(letters)), "i int, c string").orderBy("i").select(simple_upper(F.col("c"))).collect()]
+    assert got == [r[0] for r in duckdb.execute("SELECT upper(c) FROM (SELECT unnest(?) AS c)", [letters]).fetchall()]
+
+
+@pytest.mark.parametrize("name", ["a10_word_pairs", "a10_wder"])
+def test_a_sharp_s_is_not_two_letters(spark, tmp_path, name):
+    rows = [(1, i, "ab"[i % 2], "ss x ß x ﬁ fi y z " * 3) for i in range(4)]
+    assert same_as_sql(spark, name, tmp_path, conversations=(rows, "conv_id long, turn long, role string, text string"))
+
+
 def test_entry_works_without_the_training_data_operators(monkeypatch):
     import importlib
     import sys

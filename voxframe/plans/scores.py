@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from voxframe.functions.turns import simple_upper
 from voxframe.operators import scoring
 from voxframe.plans import derived
 from voxframe.plans.base import query
@@ -120,7 +121,7 @@ def spoken_pair(spark, d):
     ref = w.withColumn("speaker", F.when(F.col("word_ord") % 17 == 3, None).otherwise(F.col("speaker")))
     speaker = F.when(F.col("word_ord") % 7 == 2, 2 - F.col("speaker")).when(F.col("word_ord") % 11 == 5, None).otherwise(F.col("speaker") + 1)
     shift = F.lit(0.004) * (F.col("word_ord") % 5)
-    hyp = w.where((F.col("file").cast("long") % 2 == 0) | (F.col("word_ord") % 9 != 4)).select("file", "word_ord", F.upper("word").alias("word"), (F.col("start") + shift).alias("start"), (F.col("end") + shift).alias("end"), speaker.alias("speaker"))
+    hyp = w.where((F.col("file").cast("long") % 2 == 0) | (F.col("word_ord") % 9 != 4)).select("file", "word_ord", simple_upper(F.col("word")).alias("word"), (F.col("start") + shift).alias("start"), (F.col("end") + shift).alias("end"), speaker.alias("speaker"))
     return ref, hyp
 
 
