@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxframe.functions.turns import simple_upper
+from voxframe.functions.turns import rounded, simple_upper
 from voxframe.operators import intervals, scoring
 from voxframe.plans.registry import ORACLES, QUERIES
 from voxframe.sources import text_formats
@@ -140,6 +140,19 @@ def test_a_sharp_s_is_not_two_letters(spark, tmp_path, name):
     assert same_as_sql(spark, name, tmp_path, conversations=(rows, "conv_id long, turn long, role string, text string"))
 
 
+def test_rounding_is_that_of_sql(spark):
+    values = [-1e-7, 1e-7, -0.0, 0.0, 0.5e-6, -0.5e-6, 1.5e-6, -2.5e-6, 0.1234565, -0.1234565, 2.0000005, 1e15 + 0.5, -7.3, float("inf"), None]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(values)), "i int, v double").orderBy("i").select(rounded("v", 6)).collect()]
+    assert list(map(str, got)) == [str(r[0]) for r in duckdb.execute("SELECT round(v, 6) FROM (SELECT unnest(?::DOUBLE[]) AS v)", [values]).fetchall()]
+
+
+@pytest.mark.parametrize("name", ["v2_mean_vector", "v3_centroids", "v4_speaker_embeddings", "q18_mean_normalize", "p19_pre_emphasis", "p20_hamming", "p5_l2_normalize", "s14_downmix"])
+def test_small_negative_values_keep_their_sign(spark, tmp_path, name):
+    # Values that are less than half a unit of the last decimal under 0, under the mean, under 0.97 of the one before, or in the mean of a pair.
+    rows = [(i, [0.25 - (4e-7 if i else 0.0), -4e-7] + [0.25, 0.2425 - 3e-7] * 15 + [-2e-10, 0.0] * 16, i) for i in range(2)]
+    assert same_as_sql(spark, name, tmp_path, embeddings=(rows, "vec_id long, embedding array<float>, label int"))
+
+
 def test_entry_works_without_the_training_data_operators(monkeypatch):
     import importlib
     import sys

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from voxframe.functions import vectors as fv
+from voxframe.functions.turns import rounded
 from voxframe.operators import intervals, segmentation, sequences
 from voxframe.plans import derived
 from voxframe.plans.base import query
@@ -36,7 +37,7 @@ def averages(spark, d):
 
 @query("p16_softmax", LOGITS + "SELECT file, win, frame, list_transform(probs, lambda v: round(v, 6)) AS probs FROM pr")
 def p16(spark, d):
-    return logits(spark, d).select("file", "win", "frame", F.transform(fv.softmax(F.col("logits")), lambda v: F.round(v, 6)).alias("probs"))
+    return logits(spark, d).select("file", "win", "frame", F.transform(fv.softmax(F.col("logits")), lambda v: rounded(v, 6)).alias("probs"))
 
 
 @query("p17_powerset", "SELECT event_id, CAST(event_id % 7 AS INTEGER) AS cls, [[], [0], [1], [2], [0, 1], [0, 2], [1, 2]][event_id % 7 + 1]::INTEGER[] AS speakers, CAST(event_id % 7 AS INTEGER) AS again FROM events")
@@ -48,13 +49,13 @@ def p17(spark, d):
 
 @query("p18_frame_class", DECODED + "SELECT file, win, frame, cls, round(p, 6) AS p FROM de")
 def p18(spark, d):
-    return segmentation.decode_windows(logits(spark, d)).select("file", "win", "frame", "cls", F.round("p", 6).alias("p"))
+    return segmentation.decode_windows(logits(spark, d)).select("file", "win", "frame", "cls", rounded("p", 6).alias("p"))
 
 
 @query("q1_energy_probs", "SELECT vec_id::VARCHAR AS file, k AS frame, round(least(1, sqrt(list_sum(list_transform(embedding[16 * k + 1 : 16 * k + 16], lambda v: v::DOUBLE * v::DOUBLE))) / 10.0::DOUBLE ** (-6.0::DOUBLE / 20)), 6) AS prob FROM embeddings, unnest(range(0, 4)) AS t(k)")
 def q1(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("file"), F.lit(0).alias("block"), F.col("embedding").alias("samples"))
-    return segmentation.energy_probs(e, 16, -6.0).select("file", "frame", F.round("prob", 6).alias("prob"))
+    return segmentation.energy_probs(e, 16, -6.0).select("file", "frame", rounded("prob", 6).alias("prob"))
 
 
 SPEECH = """, f AS (SELECT file, row_number() OVER (PARTITION BY file ORDER BY event_id) - 1 AS frame, {prob} AS prob FROM ev),
@@ -112,12 +113,12 @@ def q9(spark, d):
 
 @query("q10_overlap_add", AVERAGE + "SELECT file, frame, list_transform(probs, lambda v: round(v, 6)) AS probs FROM av")
 def q10(spark, d):
-    return averages(spark, d).select("file", "frame", F.transform("probs", lambda v: F.round(v, 6)).alias("probs"))
+    return averages(spark, d).select("file", "frame", F.transform("probs", lambda v: rounded(v, 6)).alias("probs"))
 
 
 @query("q11_argmax_classes", AVERAGE + "SELECT file, frame, CAST(list_position(probs, list_max(probs)) - 1 AS INTEGER) AS cls, round(list_max(probs), 6) AS p FROM av")
 def q11(spark, d):
-    return segmentation.argmax_classes(averages(spark, d)).select("file", "frame", "cls", F.round("p", 6).alias("p"))
+    return segmentation.argmax_classes(averages(spark, d)).select("file", "frame", "cls", rounded("p", 6).alias("p"))
 
 
 BINARIZED = AVERAGE + SETS + """, sp AS (SELECT file, frame, local AS s, sum(probs[cls + 1]) AS prob FROM av JOIN sets ON true GROUP BY ALL),
@@ -136,7 +137,7 @@ def binarized(spark, d):
 
 @query("q12_binarize", BINARIZED + "SELECT file, frame, cls, round(p, 6) AS p FROM bi")
 def q12(spark, d):
-    return binarized(spark, d).select("file", "frame", "cls", F.round("p", 6).alias("p"))
+    return binarized(spark, d).select("file", "frame", "cls", rounded("p", 6).alias("p"))
 
 
 @query("q13_run_lengths", BINARIZED + """, ea AS (SELECT bi.file, frame, p, local, bi.cls >= 4 AS is_overlap FROM bi JOIN sets ON bi.cls = sets.cls),
@@ -144,7 +145,7 @@ m2 AS (SELECT *, CASE WHEN frame - lag(frame) OVER (PARTITION BY file, local, is
 r2 AS (SELECT *, sum(fresh) OVER (PARTITION BY file, local, is_overlap ORDER BY frame) AS run FROM m2)
 SELECT file, local, is_overlap, min(frame) * 0.125::DOUBLE AS start, (max(frame) + 1) * 0.125::DOUBLE AS "end", round(avg(p), 6) AS confidence FROM r2 GROUP BY file, local, is_overlap, run HAVING count(*) >= 2""")
 def q13(spark, d):
-    return segmentation.segments_of_frames(binarized(spark, d), 0.0, STRIDE, 0.25).withColumn("confidence", F.round("confidence", 6))
+    return segmentation.segments_of_frames(binarized(spark, d), 0.0, STRIDE, 0.25).withColumn("confidence", rounded("confidence", 6))
 
 
 @query("q14_stitch")
@@ -190,7 +191,7 @@ def q17(spark, d):
 @query("q18_mean_normalize", "SELECT file, frame, list(round(v - m, 6) ORDER BY b) AS values FROM (SELECT (vec_id // 50)::VARCHAR AS file, vec_id AS frame, b, embedding[b]::DOUBLE AS v, avg(embedding[b]::DOUBLE) OVER (PARTITION BY vec_id // 50, b) AS m FROM embeddings, unnest(range(1, 9)) AS t(b)) GROUP BY ALL")
 def q18(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.expr("vec_id div 50").cast("string").alias("file"), F.col("vec_id").alias("frame"), F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")).alias("values"))
-    return segmentation.mean_normalize(e).select("file", "frame", F.transform("values", lambda v: F.round(v, 6)).alias("values"))
+    return segmentation.mean_normalize(e).select("file", "frame", F.transform("values", lambda v: rounded(v, 6)).alias("values"))
 
 
 @query("q19_resegment")
@@ -207,7 +208,7 @@ def q19(spark, d):
 SELECT file, ord, win, round(s, 6) AS start, round(least(s + 30.0::DOUBLE, till), 6) AS "end" FROM dw""".replace("RECURSIVE_ AS (SELECT 1), ", ""))
 def w5(spark, d):
     w = intervals.dense_windows(derived.turns(spark, d), 30.0)
-    return w.select("file", "ord", "win", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+    return w.select("file", "ord", "win", rounded("start", 6).alias("start"), rounded("end", 6).alias("end"))
 
 
 @query("w6_padded_windows", ', l AS (SELECT file, max("end") AS length FROM cturns GROUP BY file) SELECT file, w::INTEGER AS win, w * 2.0::DOUBLE AS start, w * 2.0::DOUBLE + 10 AS "end" FROM l, unnest(range(0, CAST(ceil(length / 2) AS BIGINT))) AS t(w)')

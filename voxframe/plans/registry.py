@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxframe.functions import turns as fn
+from voxframe.functions.turns import rounded
 from voxframe.operators import intervals, sequences
 from voxframe.plans import derived, frames, scores, speech, streams, voices  # noqa: F401  (register their queries)
 from voxframe.plans.base import FLAGSHIP, LABEL, ORACLES, QUERIES, query  # noqa: F401
@@ -25,12 +26,12 @@ def p2(spark, d):
 def p3(spark, d):
     a = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding")
     b = a.select((F.col("vec_id") - 1).alias("before"), F.col("embedding").alias("other"))
-    return a.join(b, F.col("vec_id") == F.col("before")).select("vec_id", F.round(fn.cosine(F.col("embedding"), F.col("other")), 6).alias("cos"))
+    return a.join(b, F.col("vec_id") == F.col("before")).select("vec_id", rounded(fn.cosine(F.col("embedding"), F.col("other")), 6).alias("cos"))
 
 
 @query("p7_confidence", "SELECT event_id, round(1 / (1 + exp(-10 * (least(1, value / 100) - 0.5))), 9) AS conf FROM events")
 def p7(spark, d):
-    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.round(fn.confidence(F.col("value") / 100), 9).alias("conf"))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", rounded(fn.confidence(F.col("value") / 100), 9).alias("conf"))
 
 
 @query("i1_merge_segments", """, m AS (SELECT *, CASE WHEN lag(speaker) OVER w = speaker AND start - lag("end") OVER w <= 60 THEN 0 ELSE 1 END AS fresh FROM turns WINDOW w AS (PARTITION BY file ORDER BY ord)),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxframe.functions.turns import simple_upper
+from voxframe.functions.turns import rounded, simple_upper
 from voxframe.operators import scoring
 from voxframe.plans import derived
 from voxframe.plans.base import query
@@ -143,7 +143,7 @@ def a10(spark, d):
 
 @query("a11_micro_macro", cells_sql() + BEST + "SELECT count(*) AS files, 100.0::DOUBLE * sum(miss + fa + confusion)::DOUBLE / sum(ref_frames)::DOUBLE AS micro, round(100.0::DOUBLE * avg(der), 9) AS macro FROM ders")
 def a11(spark, d):
-    return scoring.micro_macro(scoring.der(*pair(spark, d))).withColumn("macro", F.round("macro", 9))
+    return scoring.micro_macro(scoring.der(*pair(spark, d))).withColumn("macro", rounded("macro", 9))
 
 
 @query("a12_speaker_counts", """, o AS (SELECT abs(nr - coalesce(nh, 0)) AS off FROM (SELECT file, count(DISTINCT speaker) AS nr FROM turns WHERE speaker < 5 GROUP BY file) r LEFT JOIN (SELECT file, count(DISTINCT speaker) AS nh FROM hyp GROUP BY file) h USING (file))
@@ -160,7 +160,7 @@ def a13(spark, d):
     ref, hyp = pair(spark, d)
     times = ref.groupBy("file").agg(F.sum(F.col("end") - F.col("start")).alias("audio_s"), (F.count(F.lit(1)) / 100.0).alias("runtime_s"))
     r = scoring.run_report(scoring.der(ref, hyp), times)
-    return r.select("files", *[F.round(c, 6).alias(c) for c in ("miss_rate", "fa_rate", "confusion_rate")], *[F.round(c, 3).alias(c) for c in ("audio_s", "runtime_s", "rtfx")])
+    return r.select("files", *[rounded(c, 6).alias(c) for c in ("miss_rate", "fa_rate", "confusion_rate")], *[rounded(c, 3).alias(c) for c in ("audio_s", "runtime_s", "rtfx")])
 
 
 ROUNDED = """, tr AS (SELECT file, speaker, CAST(round_even(start / 0.01::DOUBLE, 0) AS BIGINT) AS sf, CAST(round_even("end" / 0.01::DOUBLE, 0) AS BIGINT) AS ef FROM turns WHERE "end" > start),
@@ -189,7 +189,7 @@ def a14_single(spark, d):
 SELECT count(*) AS files, 100.0::DOUBLE * sum(miss + fa + confusion)::DOUBLE / sum(ref_frames)::DOUBLE AS micro, round(100.0::DOUBLE * avg(der), 9) AS macro, 100.0::DOUBLE * sum(miss)::DOUBLE / sum(ref_frames)::DOUBLE AS miss_pct, 100.0::DOUBLE * sum(fa)::DOUBLE / sum(ref_frames)::DOUBLE AS fa_pct, 100.0::DOUBLE * sum(confusion)::DOUBLE / sum(ref_frames)::DOUBLE AS confusion_pct FROM k""")
 def a15(spark, d):
     ref, hyp = pair(spark, d)
-    return scoring.dataset_score(ref, hyp.where(F.substring("file", -2, 2).cast("long") % 3 != 0)).withColumn("macro", F.round("macro", 9))
+    return scoring.dataset_score(ref, hyp.where(F.substring("file", -2, 2).cast("long") % 3 != 0)).withColumn("macro", rounded("macro", 9))
 
 
 @query("a16_bootstrap")
@@ -216,7 +216,7 @@ def a18(spark, d):
 
 @query("a19_speaker_rollup", """SELECT file, speaker, 'SPEAKER_' || lpad(CAST(speaker AS VARCHAR), 2, '0') AS label, round(sum(greatest("end" - start, 0)), 6) AS seconds, count(*) AS n_turns FROM turns GROUP BY ALL""")
 def a19(spark, d):
-    return scoring.speaker_rollup(derived.turns(spark, d)).withColumn("seconds", F.round("seconds", 6))
+    return scoring.speaker_rollup(derived.turns(spark, d)).withColumn("seconds", rounded("seconds", 6))
 
 
 @query("a22_gates", """, g AS (SELECT file AS metric, count(*)::DOUBLE AS value FROM hyp GROUP BY file), b AS (SELECT file AS metric, count(*)::DOUBLE * 0.9::DOUBLE + 3 AS "limit" FROM turns GROUP BY file)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxframe.functions import turns as fn
+from voxframe.functions.turns import rounded
 from voxframe.operators import attribution, intervals
 from voxframe.plans import derived
 from voxframe.plans.base import LABEL, query
@@ -55,7 +56,7 @@ def p15(spark, d):
 
 @query("p8_distance_confidence", "SELECT event_id, round(1 / (1 + exp(-10 * (greatest(-1, least(1, 1 - value / 100)) - 0.5))), 9) AS conf FROM events")
 def p8(spark, d):
-    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.round(fn.distance_confidence(F.col("value") / 100), 9).alias("conf"))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", rounded(fn.distance_confidence(F.col("value") / 100), 9).alias("conf"))
 
 
 @query("p12_remap", "SELECT file, ord, CASE speaker WHEN 1 THEN 7 WHEN 7 THEN 1 ELSE speaker END AS speaker FROM turns")
@@ -69,7 +70,7 @@ r AS (SELECT *, sum(fresh) OVER (PARTITION BY file ORDER BY ord) AS run FROM m)
 SELECT file, min(speaker) AS speaker, arg_min(start, ord) AS start, arg_max("end", ord) AS "end", round(avg(confidence), 9) AS confidence FROM r GROUP BY file, run""")
 def i1_confidence(spark, d):
     t = derived.turns(spark, d).withColumn("confidence", F.when(F.col("ord") % 3 != 0, (F.col("ord") % 8) / 8.0))
-    return intervals.merge_adjacent(t, 60.0).select("file", "speaker", "start", "end", F.round("confidence", 9).alias("confidence"))
+    return intervals.merge_adjacent(t, 60.0).select("file", "speaker", "start", "end", rounded("confidence", 9).alias("confidence"))
 
 
 @query("i4_clean_duration", """, o AS (SELECT file, start, "end" FROM turns WHERE ord % 4 = 0), s AS (SELECT * FROM turns WHERE ord % 4 <> 0),
@@ -79,7 +80,7 @@ c AS (SELECT file, ord, sum(greatest(0, b - greatest(a, coalesce(before, a)))) A
 SELECT s.file, s.ord, round(greatest(0, s."end" - s.start - coalesce(covered, 0)), 6) AS clean FROM s LEFT JOIN c ON s.file = c.file AND s.ord = c.ord""")
 def i4(spark, d):
     t = derived.turns(spark, d)
-    return attribution.clean_seconds(t.where("ord % 4 <> 0"), t.where("ord % 4 = 0")).select("file", "ord", F.round("clean", 6).alias("clean"))
+    return attribution.clean_seconds(t.where("ord % 4 <> 0"), t.where("ord % 4 = 0")).select("file", "ord", rounded("clean", 6).alias("clean"))
 
 
 @query("i5_overlap_regions", """, cuts AS (SELECT file, start AS a FROM u5 UNION SELECT file, "end" FROM u5),
@@ -150,7 +151,7 @@ def i11(spark, d):
 
 @query("i12_attribute_words", GAPPY + INTERPOLATED.replace("SELECT *, NOT (\"end\" > start) AS bad FROM gw", "SELECT *, false AS bad FROM gw") + ATTRIBUTED + "SELECT file, word_ord, speaker, round(confidence, 9) AS confidence FROM aw")
 def i12(spark, d):
-    return attribution.attribute_words(spoken(spark, d), gappy(spark, d)).select("file", "word_ord", "speaker", F.round("confidence", 9).alias("confidence"))
+    return attribution.attribute_words(spoken(spark, d), gappy(spark, d)).select("file", "word_ord", "speaker", rounded("confidence", 9).alias("confidence"))
 
 
 @query("i13_sentence_smoothing", GAPPY + INTERPOLATED + ATTRIBUTED + SMOOTHED + "SELECT file, word_ord, sentence, speaker FROM sw")
@@ -197,7 +198,7 @@ def i17(spark, d):
 @query("i18_turn_confidence", """SELECT t.file, t.ord, round(avg(w.confidence), 9) AS confidence FROM cturns t LEFT JOIN (SELECT *, (word_ord * 37 % 100) / 100.0::DOUBLE AS confidence FROM cwords) w ON w.file = t.file AND w.speaker = t.speaker AND (w.start + w."end") / 2 >= t.start AND (w.start + w."end") / 2 < t."end" GROUP BY t.file, t.ord""")
 def i18(spark, d):
     w = derived.spoken_words(spark, d).withColumn("confidence", (F.col("word_ord") * 37 % 100) / 100.0)
-    return attribution.turn_confidence(derived.spoken_turns(spark, d), w).select("file", "ord", F.round("confidence", 9).alias("confidence"))
+    return attribution.turn_confidence(derived.spoken_turns(spark, d), w).select("file", "ord", rounded("confidence", 9).alias("confidence"))
 
 
 @query("i19_min_duration", 'SELECT file, ord FROM turns WHERE "end" - start >= 20')
