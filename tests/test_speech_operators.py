@@ -128,3 +128,14 @@ def test_word_pairs_equal_a_scan(spark):
             expected[f, i] = (s, min(met, key=lambda m: m[:2])[2] if met else None)
     got = scoring.word_pairs(spark.createDataFrame(ref, kind), spark.createDataFrame(hyp, kind)).collect()
     assert {(x["file"], x["word_ord"]): (x["ref_speaker"], x["hyp_speaker"]) for x in got} == expected and len(got) == len(expected)
+
+
+def test_speaker_at_does_not_hang_on_the_order_of_rows(spark):
+    def shuffled(batches):
+        for b in batches:
+            yield b.sample(frac=1)
+
+    points = spark.createDataFrame([("f", float(i % 40)) for i in range(200)], "file string, at double").repartition(1).mapInPandas(shuffled, "file string, at double")
+    t = turns(spark, [(i, i, i + 0.5) for i in range(0, 40, 2)])
+    got = attribution.speaker_at(points, t).collect()
+    assert sorted((r["at"], r["speaker"]) for r in got if r["speaker"] is not None) == sorted((float(i % 40), i % 40) for i in range(200) if i % 2 == 0) and len(got) == 200
