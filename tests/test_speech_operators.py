@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxframe.functions.turns import end_frame, first_frame
-from voxframe.operators import attribution, scoring
+from voxframe.operators import attribution, scoring, sequences
 from voxframe.sources import text_formats
 
 
@@ -139,3 +139,51 @@ def test_speaker_at_does_not_hang_on_the_order_of_rows(spark):
     t = turns(spark, [(i, i, i + 0.5) for i in range(0, 40, 2)])
     got = attribution.speaker_at(points, t).collect()
     assert sorted((r["at"], r["speaker"]) for r in got if r["speaker"] is not None) == sorted((float(i % 40), i % 40) for i in range(200) if i % 2 == 0) and len(got) == 200
+
+
+def test_crowded_turns_equal_a_scan(spark):
+    """Many turns at once: the timeline and clean seconds against loops, and rows that follow the turns, not their pairs."""
+    r = random.Random(9)
+    rows = [(r.randrange(5), a := r.randrange(0, 7_000_000) / 1000, a + r.randrange(250, 900_000) / 1000) for _ in range(300)]
+    t = turns(spark, rows)
+    frames = [(int(x[1]), int(x[2])) for x in t.orderBy("ord").select("ord", "sf", "ef").collect()]
+    cuts = sorted({x for f in frames for x in f})
+    expected = []
+    for a, b in zip(cuts, cuts[1:]):
+        on = [(s - e, who, i) for i, ((who, s, e), (x, y)) in enumerate(zip(rows, frames)) if x <= a and b <= y]
+        if on and expected and expected[-1][0] == min(on)[1] and expected[-1][2] == a:
+            expected[-1][2] = b
+        elif on:
+            expected.append([min(on)[1], a, b])
+    assert sorted((x["a"], x["b"], x["speaker"]) for x in sequences.exclusive_timeline(t).collect()) == [(a, b, s) for s, a, b in expected]
+    held, over = t.where("ord % 4 <> 0"), t.where("ord % 4 = 0")
+    got = {x["ord"]: x["clean"] for x in attribution.clean_seconds(held, over).collect()}
+    assert len(got) == 225
+    for i, clean in got.items():
+        _, s, e = rows[i]
+        done, at = 0.0, s
+        for a, b in sorted((a, b) for j, (_, a, b) in enumerate(rows) if j % 4 == 0):
+            if b > at and a < e:
+                done, at = done + min(b, e) - max(a, at), max(at, min(b, e))
+        assert clean == pytest.approx(max(0.0, e - s - done), abs=1e-9)
+
+
+def most_rows_of_joins(df):
+    """The largest number of rows that a join of the executed plan gave."""
+    df.collect()
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        if "Join" in p.nodeName():
+            found.append(p.metrics().apply("numOutputRows").value())
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+        for inner in ("executedPlan", "plan"):
+            if (inner == "executedPlan" and p.nodeName() == "AdaptiveSparkPlan") or (inner == "plan" and "QueryStage" in p.nodeName()):
+                todo.append(getattr(p, inner)())
+    return max(found, default=0)
+
+
+def test_joins_follow_the_number_of_turns(spark):
+    t = turns(spark, [(i % 5, (i % 7) / 100, 40 + i / 100) for i in range(400)])
+    assert most_rows_of_joins(sequences.exclusive_timeline(t)) <= 800
+    assert most_rows_of_joins(attribution.clean_seconds(t.where("ord % 4 <> 0"), t.where("ord % 4 = 0"))) <= 800

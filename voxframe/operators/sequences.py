@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxframe.operators.spans import in_bins
 
+#: Frames of ten minutes: what of a file one task lays down at once.
+BIN = 60_000
+
 
 def hysteresis(frames: DataFrame, onset: float, offset: float) -> DataFrame:
     """frames (file, frame, prob) with active: on at onset, off under offset, else as before. NaN is off."""
@@ -27,17 +32,39 @@ def regions(frames: DataFrame, min_off: int, min_on: int) -> DataFrame:
     return out.where(F.col("last") - F.col("first") + 1 >= min_on)
 
 
+def laid_down(spans: list[list[int]], size: int) -> np.ndarray:
+    """For each of ``size`` cells the first of the spans (first cell, end) that holds it, or -1. Cells that are taken are skipped."""
+    owner, free = [-1] * size, list(range(size + 1))
+    for k, (a, b) in enumerate(spans):
+        while True:
+            at = a
+            while free[at] != at:
+                free[at] = free[free[at]]
+                at = free[at]
+            if at >= b:
+                break
+            owner[at], free[at], a = k, at + 1, at + 1
+    return np.array(owner, dtype=np.int64)
+
+
 def exclusive_timeline(turns: DataFrame) -> DataFrame:
     """file, speaker, a, b (frames): one speaker at a time, that of the longest covering turn in seconds; ties to the smaller speaker.
 
-    Turns are cut into bins of time; in each bin the stretches between its boundaries meet the turns of the bin alone.
+    Turns are cut into bins of time. In each bin they are laid down in the order of their rank, each on what is free yet, so that the
+    work follows the number of turns and not that of the pairs of turns and stretches.
     """
-    rank = F.struct((F.col("start") - F.col("end")).alias("less"), "speaker", "ord").alias("rank")
-    spans = in_bins(turns.where("end > start").select("file", F.col("sf").alias("a"), F.col("ef").alias("b"), rank))
-    cuts = spans.select("file", "bin", F.explode(F.array("a", "b")).alias("ca")).distinct()
-    cells = cuts.withColumn("cb", F.lead("ca").over(Window.partitionBy("file", "bin").orderBy("ca"))).where("cb is not null").withColumnRenamed("file", "cf").withColumnRenamed("bin", "cbin")
-    met = cells.join(spans, (F.col("cf") == F.col("file")) & (F.col("cbin") == F.col("bin")) & (F.col("a") <= F.col("ca")) & (F.col("cb") <= F.col("b")))
-    best = met.groupBy("cf", "ca", "cb").agg(F.min("rank").alias("m")).select(F.col("cf").alias("file"), F.col("ca").alias("a"), F.col("cb").alias("b"), F.col("m.speaker").alias("speaker"))
+    spans = in_bins(turns.where("end > start").select("file", F.col("sf").alias("a"), F.col("ef").alias("b"), (F.col("start") - F.col("end")).alias("less"), "speaker", "ord"), BIN)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ranked = pdf.iloc[np.lexsort((pdf["ord"], pdf["speaker"], pdf["less"]))]
+        cuts, at = np.unique(ranked[["a", "b"]].to_numpy(), return_inverse=True)
+        owner = laid_down(at.reshape(-1, 2).tolist(), len(cuts) - 1)
+        first = np.flatnonzero((owner >= 0) & (owner != np.r_[-1, owner[:-1]]))
+        ends = np.flatnonzero((owner >= 0) & (owner != np.r_[owner[1:], -1]))
+        speaker = ranked["speaker"].to_numpy()[owner[first]]
+        return pd.DataFrame({"file": pdf["file"].iloc[0], "speaker": speaker, "a": cuts[first], "b": cuts[ends + 1]})
+
+    best = spans.groupBy("file", "bin").applyInPandas(run, "file string, speaker long, a long, b long")
     at = Window.partitionBy("file").orderBy("a")
     joins = (F.lag("speaker").over(at) == F.col("speaker")) & (F.lag("b").over(at) == F.col("a"))
     marked = best.withColumn("fresh", F.when(joins, 0).otherwise(1)).withColumn("run", F.sum("fresh").over(at))
