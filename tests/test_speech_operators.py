@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxframe.functions.turns import end_frame, first_frame
-from voxframe.operators import attribution, scoring, sequences
+from voxframe.operators import attribution, intervals, scoring, sequences
 from voxframe.sources import text_formats
 
 
@@ -187,3 +187,20 @@ def test_joins_follow_the_number_of_turns(spark):
     t = turns(spark, [(i % 5, (i % 7) / 100, 40 + i / 100) for i in range(400)])
     assert most_rows_of_joins(sequences.exclusive_timeline(t)) <= 800
     assert most_rows_of_joins(attribution.clean_seconds(t.where("ord % 4 <> 0"), t.where("ord % 4 = 0"))) <= 800
+
+
+def test_overlapping_pairs_shuffle_the_turns_once(spark):
+    r = random.Random(10)
+    rows = [(r.randrange(4), a := r.randrange(0, 400_000) / 1000, a + r.randrange(250, 150_000) / 1000) for _ in range(120)]
+    df = intervals.overlapping_pairs(turns(spark, rows))
+    got = {(x["ord"], x["ord2"]): x["shared"] for x in df.collect()}
+    expected = {(i, j): min(rows[i][2], rows[j][2]) - max(rows[i][1], rows[j][1]) for j in range(120) for i in range(j) if rows[i][0] != rows[j][0]}
+    assert got == {k: v for k, v in expected.items() if v > 0} and df.count() == len(got)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = intervals.overlapping_pairs(turns(spark, rows))
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "ReusedExchange" in plan and plan.count("SortMergeJoin") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
