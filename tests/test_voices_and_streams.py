@@ -198,3 +198,33 @@ def test_masks_and_filter_banks():
     bank = segmentation.filter_bank(np.sin(2 * np.pi * 1000 * np.arange(16000) / 16000))
     assert bank.shape == (98, 80) and len(segmentation.filter_bank(np.zeros(100))) == 0
     assert abs(segmentation.mel_filters(16000, 80, 512)[int(bank.mean(axis=0).argmax())].argmax() * 16000 / 512 - 1000) < 120
+
+
+class Recorder:
+    """Stands for a session and its tables; mapInPandas gives the function that a worker would run."""
+
+    @property
+    def read(self):
+        return self
+
+    def parquet(self, *_):
+        return self
+
+    def select(self, *_):
+        return self
+
+    def mapInPandas(self, f, _):
+        return f
+
+
+def test_workers_make_long_rows_in_parts(spark, monkeypatch):
+    import pandas as pd
+
+    from voxframe.plans import base, frames, streams
+
+    monkeypatch.setattr(streams, "emb", lambda *_: Recorder())
+    n = 1000
+    rows = pd.DataFrame({"file": ["f"] * n, "block": range(n), "seq": range(n), "label": [i % 4 for i in range(n)], "seed": [i % 4 for i in range(n)]})
+    for made, each in ((streams.blocks(None, ""), 1), (frames.q17(Recorder(), ""), len(segmentation.filter_bank(np.zeros(1600))))):
+        sizes = [len(part) for part in made(iter([rows]))]
+        assert sum(sizes) == n * each and max(sizes) <= base.PART * each

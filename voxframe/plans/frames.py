@@ -10,7 +10,7 @@ from voxframe.functions import vectors as fv
 from voxframe.functions.turns import rounded
 from voxframe.operators import intervals, segmentation, sequences
 from voxframe.plans import derived
-from voxframe.plans.base import query
+from voxframe.plans.base import in_parts, query
 
 STRIDE = 0.125
 #: Ten frames a window, five of them shared with the next; logits of a frame from two places of an embedding, by turns.
@@ -176,12 +176,12 @@ def q16(spark, d):
 @query("q17_filter_bank")
 def q17(spark, d):
     def run(batches):
-        for b in batches:
+        for b in in_parts(batches):
             rows = []
             for file, seed in zip(b["file"], b["seed"]):
                 t = np.arange(1600) / 16000
                 bank = segmentation.filter_bank(np.sin(2 * np.pi * (200 + 10 * seed) * t))
-                rows += [(file, i, [float(x) for x in v.round(5)]) for i, v in enumerate(bank)]
+                rows += [(file, i, v.round(5).astype(np.float64)) for i, v in enumerate(bank)]
             yield pd.DataFrame(rows, columns=["file", "frame", "values"])
 
     seeds = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("file"), F.col("label").alias("seed"))
