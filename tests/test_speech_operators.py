@@ -1,6 +1,7 @@
 """Hand-computed cases of scoring, attribution and overlaps, and random ones against plain loops."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -204,3 +205,13 @@ def test_overlapping_pairs_shuffle_the_turns_once(spark):
         assert "ReusedExchange" in plan and plan.count("SortMergeJoin") == 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_no_window_looks_ahead_to_the_end(spark):
+    """Frames up to the end of a partition are read anew for each row; what comes after is found in falling order."""
+    t = turns(spark, [(i % 3, i, i + 0.4) for i in range(20)])
+    words = spark.createDataFrame([("f", i, "w.", i / 2, i / 2 + 0.1 * (i % 3), 0.5) for i in range(60)], "file string, word_ord long, word string, start double, end double, confidence double")
+    seams = spark.createDataFrame([("f", i, i * 4.0) for i in range(5)], "file string, chunk int, seam double")
+    for df in (attribution.attribute_and_fill(words, t)[1], attribution.stitch_chunks(words.withColumn("chunk", F.lit(1)), seams), scoring.word_pairs(words.withColumn("speaker", F.lit(1).cast("long")), words.withColumn("speaker", F.lit(1).cast("long")))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "windowframe" in plan and not re.search(r"(?<!unboundedpreceding\$\(\), )unboundedfollowing", plan)

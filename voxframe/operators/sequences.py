@@ -94,7 +94,9 @@ def interpolate_times(words: DataFrame) -> DataFrame:
     at = Window.partitionBy("file").orderBy("word_ord")
     bad = ~F.coalesce((F.col("end") > F.col("start")) & (F.abs("start") < float("inf")) & (F.abs("end") < float("inf")), F.lit(False))
     before = F.last(F.when(~bad, F.col("end")), ignorenulls=True).over(at.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(F.when(~bad, F.col("start")), ignorenulls=True).over(at.rowsBetween(1, Window.unboundedFollowing))
+    # In falling order: a frame that ends with the partition would be read anew for each row.
+    down = Window.partitionBy("file").orderBy(F.desc("word_ord"))
+    after = F.last(F.when(~bad, F.col("start")), ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, -1))
     marked = words.withColumn("interpolated", bad).withColumn("p", before).withColumn("q", after)
     start = F.when(F.col("p").isNotNull(), F.col("p")).when(F.col("q").isNotNull(), F.greatest(F.col("q") - 0.001, F.lit(0.0))).otherwise(0.0)
     end = F.when(F.col("q").isNotNull(), F.col("q")).when(F.col("p").isNotNull(), F.col("p") + 0.001).otherwise(0.001)
